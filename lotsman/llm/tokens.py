@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def codec(ranks: bytes, pattern: str) -> Codec:
 
 def slices(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of rows of about ``limit`` bytes, at least one row each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = total = 0
     for i, s in enumerate(sizes):
         if i > start and total + s > limit:
