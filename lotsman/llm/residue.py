@@ -130,7 +130,7 @@ def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
     can_fill = any(k in low for k in FILLER_SIGNS)
     rough = text.split(". ")
     lines = text.split("\n")
-    repeats = any(x == y == z for x, y, z in zip(rough[1:], rough[2:], rough[3:])) or any(x == y == z and x for x, y, z in zip(lines, lines[1:], lines[2:]))
+    repeats = any(y and x.endswith(y) and z.startswith(y) for x, y, z in zip(rough, rough[1:], rough[2:])) or any(x == y == z and x for x, y, z in zip(lines, lines[1:], lines[2:]))
     sure = message = False
     frames: list[tuple[str, str, str]] = []
     if not (can_message or can_fill or repeats or may_have_slot(text)):
