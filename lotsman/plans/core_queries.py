@@ -22,16 +22,17 @@ def p1_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_frequencies": p1_frequencies}
 
-# One character before an unquoted code is taken along where it is no digit, dot or letter, and removed afterwards.
-_TOKENS = r"""regexp_extract_all(grnti_codes, '"(?:[^"]|"")*"|''[^'']*''|«[^»]*»|[\p{L}\p{N}_.]+')"""
+#: Quoted spans and words of a packed field, and the value that such a token gives (null or empty: none).
+VALUE_TOKENS = r"""regexp_extract_all(grnti_codes, '"(?:[^"]|"")*"|''[^'']*''|«[^»]*»|[\p{L}\p{N}_.]+')"""
+VALUE_CASE = r"""CASE
+  WHEN tok LIKE '"%' THEN trim(replace(tok[2:-2], '""', '"'))
+  WHEN tok LIKE '''%' OR tok LIKE '«%' THEN trim(tok[2:-2])
+  WHEN regexp_full_match(tok, '[0-9]{2}(\.[0-9]{2}){0,2}') THEN tok END"""
 _VALUES = f"""
 WITH r AS (SELECT 'gisnauka_samples_train' AS table_name, row_id, grnti_codes FROM gisnauka_samples_train UNION ALL SELECT 'gisnauka_segments_train_augmented', row_id, grnti_codes FROM gisnauka_segments_train_augmented),
-t AS (SELECT table_name, row_id, {_TOKENS} AS toks FROM r WHERE grnti_codes IS NOT NULL),
+t AS (SELECT table_name, row_id, {VALUE_TOKENS} AS toks FROM r WHERE grnti_codes IS NOT NULL),
 u AS (SELECT table_name, row_id, unnest(toks) AS tok, unnest(range(len(toks))) AS ord FROM t),
-v AS (SELECT table_name, row_id, ord, CASE
-  WHEN tok LIKE '"%' THEN trim(replace(tok[2:-2], '""', '"'))
-  WHEN tok LIKE '''%' OR tok LIKE '«%' THEN trim(tok[2:-2])
-  WHEN regexp_full_match(tok, '[0-9]{{2}}(\\.[0-9]{{2}}){{0,2}}') THEN tok END AS code_value FROM u)
+v AS (SELECT table_name, row_id, ord, {VALUE_CASE} AS code_value FROM u)
 """
 SQL = {
     "p1_found": _VALUES + "SELECT table_name, row_id, CAST(row_number() OVER (PARTITION BY table_name, row_id ORDER BY ord) AS INTEGER) AS pos, code_value FROM v WHERE code_value <> ''",

@@ -365,7 +365,12 @@ def anti_dedup(spark, d):
     return ds.without_keys_of(table(spark, d, TRAIN), table(spark, d, "gisnauka_samples_test")).select("row_id")
 
 
-@query()
+_WS = "regexp_replace(coalesce({}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+
+
+@query(f"""WITH g AS (SELECT row_id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(grnti_codes, ''), ';'), lambda x: {_WS.format('x')}), lambda x: regexp_full_match(x, '[0-9]+\\.[0-9]+\\.[0-9]+')))) AS c,
+{_WS.format('doc_id')} AS doc, {_WS.format('top_code')} AS top, {_WS.format(_WS.format('title') + " || chr(10) || chr(10) || " + _WS.format('abstract'))} AS text FROM {TRAIN})
+SELECT row_id AS row_ord, CASE WHEN doc = '' THEN 'gisnauka_' || row_id ELSE doc END AS doc_id, array_to_string(c, ';') AS gold_codes, text, CASE WHEN top = '' THEN regexp_extract(c[1], '^[0-9]+') ELSE top END AS top_code FROM g WHERE len(c) > 0 AND text <> ''""")
 def gold_scan(spark, d):
     return ds.gold_items(table(spark, d, TRAIN)).withColumn("gold_codes", F.array_join("gold_codes", ";"))
 
