@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotsman.llm import copies, overlap, packing, pieces, residue, sampling, splits, subjects, tokens
+from lotsman.plans.core_queries import VALUE_CASE, VALUE_TOKENS
 from lotsman.session import table
 
 TRAIN = "gisnauka_samples_train"
@@ -147,4 +148,11 @@ SQL: dict[str, str] = {
 WITH d AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM {SEGMENTS} UNION ALL SELECT doc_id FROM row_meta)),
 k AS (SELECT doc_id, {_KEY} AS unit FROM d)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.unit = b.unit AND a.doc_id < b.doc_id""",
+    "p7_found": f"""
+WITH t AS (SELECT row_id, regexp_replace(coalesce(top_code, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') AS top, grnti_codes FROM {TRAIN}),
+u AS (SELECT row_id, unnest({VALUE_TOKENS}) AS tok FROM t WHERE top = ''),
+v AS (SELECT row_id, min(val) AS val FROM (SELECT row_id, {VALUE_CASE} AS val FROM u) WHERE val <> '' GROUP BY row_id),
+c AS (SELECT left(CASE WHEN top <> '' THEN top ELSE val END, 2) AS cat FROM t LEFT JOIN v USING (row_id)),
+n AS (SELECT cat, count(*) AS n FROM c GROUP BY 1), z AS (SELECT count(*) * 3 // 10 AS size FROM c)
+SELECT top_code FROM target_shares LEFT JOIN n ON cat = top_code CROSS JOIN z WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 1000 < target_permille * size""",
 }
