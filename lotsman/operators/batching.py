@@ -97,68 +97,131 @@ class BatchConfig:
     seed: int = 42
 
 
-def _compatible(rows: pd.DataFrame, batch: list[int], pool: np.ndarray, basic: bool, gold: bool) -> np.ndarray:
-    ok = np.ones(len(pool), bool)
-    if basic and batch:
-        ok &= ~np.isin(rows["doc_id"].to_numpy()[pool], rows["doc_id"].to_numpy()[batch])
-        ok &= ~np.isin(rows["leaf"].to_numpy()[pool], rows["leaf"].to_numpy()[batch])
-    if gold and batch:
-        leaves = {rows["leaf"].iat[i] for i in batch}
-        taken = set().union(*(rows["_gold"].iat[i] for i in batch))
-        ok &= np.array([rows["leaf"].iat[j] not in taken and not (rows["_gold"].iat[j] & leaves) for j in pool], bool)
-    return ok
-
-
-def _gain(rows: pd.DataFrame, batch: list[int], pool: np.ndarray, edges: np.ndarray, target: tuple[float, ...]) -> np.ndarray:
-    """Minus the distance of the batch's relation shares to the target after each candidate."""
-    if not batch or np.isnan(target[0]):
-        return np.zeros(len(pool))
-    col = lambda c: rows[c].to_numpy()
-    same = lambda c: col(c)[pool][:, None] == col(c)[batch][None, :]
-    leaf, grand, parent = same("leaf"), same("grand"), same("parent")
-    far = (~leaf & ~grand).sum(1)
-    mid = (~leaf & grand & ~parent).sum(1)
-    hard = (~leaf & grand & parent).sum(1)
-    e = edges + 2 * np.stack([far, mid, hard], 1)
-    total = e.sum(1, keepdims=True)
-    return np.where(total[:, 0] == 0, np.inf, -np.abs(e / np.maximum(total, 1) - np.array(target)).sum(1))
+class Picker:
+    """The open batch over the rows of one task, with what it rules out kept up to date by each pick."""
+
+    def __init__(self, rows: pd.DataFrame, cfg: BatchConfig):
+        self.cfg, n = cfg, len(rows)
+        self.doc, self.leaf, self.parent, self.grand = (pd.factorize(rows[c])[0] for c in ("doc_id", "leaf", "parent", "grand"))
+        number = dict(zip(rows["leaf"], self.leaf))
+        self.gold = [[number[x] for x in set((g or "").split(";")) if x in number] for g in rows["gold"]]
+        self.by_leaf = [np.flatnonzero(self.leaf == k) for k in range(self.leaf.max() + 1 if n else 0)]
+        holders: list[list[int]] = [[] for _ in self.by_leaf]
+        for i, leaves in enumerate(self.gold):
+            for k in leaves:
+                holders[k].append(i)
+        self.holders = [np.array(h, int) for h in holders]
+        self.weight = rows["weight"].to_numpy(float)
+        self.vectors = None
+        if cfg.margin is not None and {"seg_vec", "pos_vec"} <= set(rows.columns):
+            self.vectors = tuple(np.array(rows[c].tolist(), float) for c in ("seg_vec", "pos_vec"))
+            self.own = (self.vectors[0] * self.vectors[1]).sum(1)
+        self.free = np.ones(n, bool)
+        self.start()
+
+    def start(self) -> None:
+        self.batch: list[int] = []
+        self.edges = np.zeros(3)
+        self.repeats = np.zeros(len(self.free), bool)
+        self.clashes = np.zeros(len(self.free), bool)
+        self.n_leaf, self.n_parent, self.n_grand = (np.zeros(c.max() + 1 if len(c) else 0, int) for c in (self.leaf, self.parent, self.grand))
+
+    def relations(self, of: np.ndarray) -> np.ndarray:
+        """(far, mid, hard) counts of candidates against the batch; a leaf lies in one parent, a parent in one grand."""
+        g, p, k = self.n_grand[self.grand[of]], self.n_parent[self.parent[of]], self.n_leaf[self.leaf[of]]
+        return np.stack([len(self.batch) - g, g - p, p - k], 1)
+
+    def unsafe(self, of: np.ndarray) -> np.ndarray:
+        """Candidates with a sibling in the batch that is nearly as close to the one's text as its own label, either way."""
+        if self.vectors is None or not self.batch:
+            return np.zeros(len(of), bool)
+        seg, pos = self.vectors
+        b = np.array(self.batch)
+        hard = (self.parent[of][:, None] == self.parent[b]) & (self.leaf[of][:, None] != self.leaf[b])
+        least = 1 - self.cfg.margin
+        near = (seg[of] @ pos[b].T >= self.own[of][:, None] * least) | ((seg[b] @ pos[of].T).T >= self.own[b][None, :] * least)
+        return (hard & near).any(1)
+
+    def add(self, i: int) -> None:
+        self.edges += 2 * self.relations(np.array([i]))[0]
+        self.batch.append(i)
+        self.free[i] = False
+        self.repeats |= self.doc == self.doc[i]
+        self.repeats[self.by_leaf[self.leaf[i]]] = True
+        self.clashes[self.holders[self.leaf[i]]] = True
+        for k in self.gold[i]:
+            self.clashes[self.by_leaf[k]] = True
+        self.n_leaf[self.leaf[i]] += 1
+        self.n_parent[self.parent[i]] += 1
+        self.n_grand[self.grand[i]] += 1
+
+    def pick(self, target: tuple[float, ...], rng: np.random.Generator) -> int:
+        """The best of some candidates drawn by weight; constraints go one by one, in favour of siblings' safety last."""
+        pool = np.flatnonzero(self.free)
+        some = pool
+        if len(pool) > self.cfg.candidates:
+            some = rng.choice(pool, self.cfg.candidates, replace=False, p=self.weight[pool] / self.weight[pool].sum())
+        fit = some
+        for safe, gold, basic, of in ((1, 1, 1, some), (1, 1, 1, pool), (0, 1, 1, some), (0, 1, 1, pool), (0, 0, 1, some), (0, 0, 1, pool), (0, 0, 0, some)):
+            bad = (self.clashes[of] & bool(gold)) | (self.repeats[of] & bool(basic))
+            if safe:
+                bad |= self.unsafe(of)
+            fit = of[~bad]
+            if len(fit):
+                break
+        if not self.batch or np.isnan(target[0]):
+            return int(fit[0])
+        e = self.edges + 2 * self.relations(fit)
+        total = e.sum(1, keepdims=True)
+        gain = np.where(total[:, 0] == 0, np.inf, -np.abs(e / np.maximum(total, 1) - np.array(target)).sum(1))
+        return int(fit[int(np.argmax(gain))])
 
 
 def build_epoch(rows: pd.DataFrame, epoch: int, cfg: BatchConfig) -> list[list[int]]:
-    """Batches of row positions: each pick is the best of some weighted candidates; constraints are dropped one by one
-    (gold sets, then documents and leaves) only where nothing else is left."""
-    rows = rows.assign(_gold=[frozenset((g or "").split(";")) - {""} for g in rows["gold"]])
+    """Batches of row positions.  An unfinished batch is left out with ``drop_last``; its rows are used up all the same."""
     rng = np.random.default_rng(cfg.seed + epoch)
     target = cfg.targets[min(epoch, len(cfg.targets)) - 1]
-    free = np.ones(len(rows), bool)
-    weight = rows["weight"].to_numpy(float)
+    picker = Picker(rows, cfg)
     out: list[list[int]] = []
-    while free.any():
-        batch: list[int] = []
-        edges = np.zeros(3)
-        while len(batch) < cfg.size and free.any():
-            pool = np.flatnonzero(free)
-            some = pool
-            if len(pool) > cfg.candidates:
-                some = rng.choice(pool, cfg.candidates, replace=False, p=weight[pool] / weight[pool].sum())
-            for basic, gold, of in ((True, True, some), (True, True, pool), (True, False, some), (True, False, pool), (False, False, some)):
-                fit = of[_compatible(rows, batch, of, basic, gold)]
-                if len(fit):
-                    break
-            gain = _gain(rows, batch, fit, edges, target)
-            pick = int(fit[int(np.argmax(gain))])
-            if batch:
-                for i in batch:
-                    r, s = rows.iloc[i], rows.iloc[pick]
-                    if r["leaf"] != s["leaf"]:
-                        edges[0 if r["grand"] != s["grand"] else 1 if r["parent"] != s["parent"] else 2] += 2
-            batch.append(pick)
-            free[pick] = False
-        if len(batch) == cfg.size or not cfg.drop_last:
-            out.append(batch)
+    while picker.free.any():
+        picker.start()
+        while len(picker.batch) < cfg.size and picker.free.any():
+            picker.add(picker.pick(target, rng))
+        if len(picker.batch) == cfg.size or not cfg.drop_last:
+            out.append(picker.batch)
     return out
 
 
+def fill_tail(rows: pd.DataFrame, prefix: list[int], pool: list[int], cfg: BatchConfig, epoch: int = 1) -> list[int]:
+    """A batch that begins with ``prefix`` and is filled from ``pool``; an error where they overlap."""
+    if set(prefix) & set(pool):
+        raise ValueError("prefix and pool overlap")
+    picker = Picker(rows, cfg)
+    for i in prefix:
+        picker.add(i)
+    picker.free[:] = False
+    picker.free[pool] = True
+    rng = np.random.default_rng(cfg.seed + epoch)
+    while len(picker.batch) < cfg.size and picker.free.any():
+        picker.add(picker.pick(cfg.targets[min(epoch, len(cfg.targets)) - 1], rng))
+    return picker.batch
+
+
+def batch_count(n: int, size: int, drop_last: bool = True) -> int:
+    return n // size if drop_last else -(-n // size)
+
+
+def unsafe_siblings(batches: DataFrame, margin: float) -> DataFrame:
+    """(batch, a, b): sibling pairs in which b's label is nearly as close to a's text as a's own label.
+
+    ``batches`` holds (batch, pos, leaf, parent, grand, seg_vec, pos_vec).
+    """
+    b = batches.select("batch", F.struct("pos", "leaf", "parent", "grand", "seg_vec", "pos_vec").alias("r"))
+    pairs = b.select("batch", F.col("r").alias("a")).join(b.select("batch", F.col("r").alias("b")), "batch").where("a.pos <> b.pos").where(relation("a", "b") == "hard")
+    dot = lambda x, y: F.aggregate(F.zip_with(F.col(x), F.col(y), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return pairs.where(dot("a.seg_vec", "b.pos_vec") >= dot("a.seg_vec", "a.pos_vec") * (1 - margin)).select("batch", F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
+
+
 def batch_plan(rows: DataFrame, epochs: int, cfg: BatchConfig = BatchConfig(), shards: int = 1) -> DataFrame:
     """(epoch, batch, pos, row_id) from (row_id, doc_id, leaf, parent, grand, gold, weight).
 
@@ -174,7 +237,8 @@ def batch_plan(rows: DataFrame, epochs: int, cfg: BatchConfig = BatchConfig(), s
         plan = [(key[0], b * shards + key[1], p, ids[i]) for b, batch in enumerate(build_epoch(pdf, int(key[0]), cfg)) for p, i in enumerate(batch)]
         return pd.DataFrame(plan, columns=["epoch", "batch", "pos", "row_id"])
 
-    return every.groupBy("epoch", "shard").applyInPandas(run, "epoch int, batch int, pos int, row_id bigint")
+    # A stated number of partitions, as small groups of slow work would else be put into one task.
+    return every.repartition(2 * epochs * shards, "epoch", "shard").groupBy("epoch", "shard").applyInPandas(run, "epoch int, batch int, pos int, row_id bigint")
 
 
 def unique_batches(rows: DataFrame, size: int, epoch: int = 1, seed: int = 42, shards: int = 1) -> DataFrame:

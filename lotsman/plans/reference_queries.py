@@ -492,6 +492,14 @@ def fn_pair_filter(spark, d):
     return bt.kept_batches(bt.false_negatives(batched(spark, d)), 0.75).withColumn("fraction", r6("fraction"))
 
 
+@query(f"""WITH e AS (SELECT vec_id AS pos, vec_id // 100 AS batch, lpad(label::VARCHAR, 2, '0') AS leaf, (label % 2) AS grand, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.*, b.v AS w FROM e a JOIN e b ON b.pos = a.pos + 1)
+SELECT a.batch, a.pos AS a, b.pos AS b FROM p a JOIN p b ON a.batch = b.batch AND a.pos <> b.pos AND a.leaf <> b.leaf AND a.grand = b.grand WHERE list_inner_product(a.v, b.w) >= list_inner_product(a.v, a.w) * 0.9""")
+def safe_hard(spark, d):
+    e = _emb(spark, d).select(F.col("vec_id").alias("pos"), F.expr("vec_id div 100").alias("batch"), F.lpad(F.col("label").cast("string"), 2, "0").alias("leaf"), (F.col("label") % 2).alias("grand"), (F.col("label") % 2).alias("parent"), F.col("embedding").alias("seg_vec"))
+    nxt = _emb(spark, d).select((F.col("vec_id") - 1).alias("pos"), F.col("embedding").alias("pos_vec"))
+    return bt.unsafe_siblings(e.join(nxt, "pos"), 0.1)
+
+
 @query()
 def batch_plan(spark, d):
     return bt.batch_plan(bt.sampling_weights(hier(spark, d)), 3)

@@ -112,6 +112,18 @@ def test_batches(spark):
     assert bt.replayed(plan.select("epoch", "batch", "row_id"), 9).select("epoch").distinct().first()[0] == 2
 
 
+def test_picker_and_tail():
+    import pandas as pd
+
+    rows = pd.DataFrame([(i, i, f"1.1.{i}", "1.1", "1", f"1.1.{i}", 1.0, [1.0, 0.0], [1.0, 0.1 * i]) for i in range(8)], columns=["row_id", "doc_id", "leaf", "parent", "grand", "gold", "weight", "seg_vec", "pos_vec"])
+    assert sorted(x for b in bt.build_epoch(rows, 1, bt.BatchConfig(size=4, margin=0.1)) for x in b) == list(range(8))
+    batch = bt.fill_tail(rows, [2, 5], [0, 1, 7], bt.BatchConfig(size=4))
+    assert batch[:2] == [2, 5] and len(set(batch)) == 4 and set(batch[2:]) <= {0, 1, 7}
+    with pytest.raises(ValueError):
+        bt.fill_tail(rows, [1], [1], bt.BatchConfig())
+    assert (bt.batch_count(10, 4), bt.batch_count(10, 4, False)) == (2, 3)
+
+
 def test_rerank_scores(spark):
     got = spark.createDataFrame([(0.0,), (5.0,), (1.4,), (-0.2,)], "x double").select(an.sigmoid("x"), an.clipped("x")).collect()
     assert [round(r[0], 6) for r in got[:2]] == [0.5, 0.731059] and [r[1] for r in got[2:]] == [1.0, 0.0]
