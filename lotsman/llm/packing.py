@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def pack_sizes(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_toke
 
     (id, piece, n_tokens, container, slot, start, container_length).  An item is split only where it is longer than
     the capacity: into full pieces, each filling a container, and a rest that is packed like other items.  An item
-    of size 0 (null or empty text) gets a place of size 0.  Repeated rows are packed each for itself.  An empty
+    of size 0 (null or empty text) gets a place of size 0, a null id a place like any other.  Repeated rows are packed each for itself.  An empty
     table gives no rows.  Items are packed in groups by a hash of the id, so no task sees more than about
     ``group_tokens`` tokens; a group is one Arrow batch of three numbers an item.
     """
@@ -79,12 +80,13 @@ def pack_sizes(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_toke
     )
     kind = sizes.schema[id_col].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "piece"], kind="stable")
-        c, slot, start, length = best_fit(pdf["n_tokens"].to_numpy(), lengths)
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "piece": pdf["piece"].to_numpy(), "n_tokens": pdf["n_tokens"].to_numpy(), "container": (int(key[0]) << 32) + c, "slot": slot, "start": start, "container_length": length})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(id_col, "ascending"), ("piece", "ascending")]))
+        c, slot, start, length = best_fit(rows.column("n_tokens").to_numpy(), lengths)
+        placed = {"container": (key[0].as_py() << 32) + c, "slot": slot, "start": start, "container_length": length}
+        return pa.table({**{n: rows.column(n) for n in (id_col, "piece", "n_tokens")}, **{n: pa.array(x) for n, x in placed.items()}})
 
-    return pieces.groupBy("_group").applyInPandas(run, f"`{id_col}` {kind}, piece int, n_tokens int, container bigint, slot int, start int, container_length int")
+    return pieces.groupBy("_group").applyInArrow(run, f"`{id_col}` {kind}, piece int, n_tokens int, container bigint, slot int, start int, container_length int")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, vocabulary: str | None = None) -> DataFrame:

@@ -213,6 +213,7 @@ def test_ids_equal_the_library(spark):
     counts = {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()}
     assert all(counts[i] == len(ids) for i, ids in got.items())
     assert tokens.encode(df.limit(0)).count() == 0
+    assert [tuple(r) for r in tokens.encode(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()] == [(None, [])]
 
 
 def test_packing(spark):
@@ -230,6 +231,9 @@ def test_packing(spark):
         mine = sorted(r.piece for r in got if r.doc_id == i)
         assert mine == list(range(max(1, -(-n // 2048)))) and sum(r.n_tokens for r in got if r.doc_id == i) == n
     assert packing.pack(df.limit(0)).count() == 0
+    big = 2**60 + 1
+    odd = spark.createDataFrame([(None, "а"), (None, None), (big, "б"), (big, "б")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in packing.pack(odd).collect()) == [(0, False), (0, True), (big, True), (big, True)]
     assert packing.fill_report(packing.pack(df)).first()["tokens"] == sum(counts.values())
 
 
