@@ -4,7 +4,7 @@ Texts are read as passages (lines, then sentences).  A span of the shape of an u
 words beside it, with the span as slot.  Frames are aligned over the corpus: one whose slot holds several different
 residues, written in several ways, is a template; a frame that always holds the same span is prose about it.  Error
 messages count where a passage is the message, not where it speaks of one; whole pages that repeat over documents
-and hold such a message give further message passages.
+and hold such a message are listed as page templates.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
 
 def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, frame, residue, way): kind "residue" or "message" is certain; "frame" is decided by the corpus, and
-    "page" is a passage of a short text, decided by pages that repeat."""
+    "page" is a short text with a message, digits and identifiers masked, a template where it repeats."""
     small_batches(df.sparkSession)
     id_kind = df.schema[id_col].dataType.simpleString()
 
@@ -181,10 +181,7 @@ def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     put(i, "residue" if sure else "message", None, None, None)
                 if message and len(text) <= PAGE:
                     lines = list(dict.fromkeys(MASK.sub("0", p) for p in passages(text)))
-                    whole = "\n".join(lines)
-                    for p in lines:
-                        if not MESSAGES.match(p):
-                            put(i, "page", whole, p, None)
+                    put(i, "page", "\n".join(lines), None, None)
                 for frame, residue, way in frames:
                     put(i, "frame", frame, residue, way)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.string()) for c in cols)], names=[id_col, "kind", "frame", "residue", "way"])

@@ -258,6 +258,8 @@ def test_residue(spark):
     assert sorted(r.doc_id for r in residue.found_residue(df).collect()) == list(range(len(HELD)))
     assert residue.without_residue(df).count() == len(FREE)
     assert residue.found_residue(df.limit(0)).count() == 0
+    pages = spark.createDataFrame([(i, f"502 Bad Gateway\n\nfront-proxy/1.{i}") for i in range(3)] + [(9, "Ошибка 404.")], "doc_id long, text string")
+    assert [tuple(r) for r in residue.page_templates(pages).collect()] == [("0 Bad Gateway\nfront-proxy/0.0", 3)]
 
 
 def test_frames_are_aligned(spark):
