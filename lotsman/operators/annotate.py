@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotsman.functions.text import is_leaf, to_level
+from lotsman.session import stash
 
 #: Concepts of one broadcast block; a larger ontology is matched block by block.
 BLOCK = 20_000
@@ -159,9 +160,21 @@ def max_pooled(scores: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "comp_id"))).where(F.col("rank") <= k)
 
 
-def with_context(segments: DataFrame, max_length: int, text: str = "segment_text") -> DataFrame:
-    """``segments`` with ``context_text``: neighbours around the doubled segment, unless it is longer than ``max_length``."""
-    w = Window.partitionBy("doc_id").orderBy("segment_index")
+def with_context(segments: DataFrame, max_length: int, text: str = "segment_text", ranges: int | None = None) -> DataFrame:
+    """``segments`` with ``context_text``: neighbours around the doubled segment, unless it is longer than ``max_length``.
+
+    Rows are put in ranges of (doc_id, segment_index), so a hot document is spread over several tasks; a range's first
+    and last row meet the neighbouring ranges' ends, one row a range.
+    """
+    placed = stash(segments.repartitionByRange(*[ranges] * (ranges is not None), "doc_id", "segment_index").withColumn("_p", F.spark_partition_id()), "ranges")
+    end = F.struct("doc_id", "segment_index", F.left(text, F.lit(201)).alias("t"))
+    by_range = Window.orderBy("_p")
+    ends = placed.groupBy("_p").agg(F.min(end).alias("_a"), F.max(end).alias("_z")).select("_p", F.lag("_z").over(by_range).alias("_before"), F.lead("_a").over(by_range).alias("_after"))
+    w = Window.partitionBy("_p", "doc_id").orderBy("segment_index")
+    beyond = lambda c: F.when(F.col(f"{c}.doc_id").eqNullSafe(F.col("doc_id")), F.col(f"{c}.t"))
+    before = F.when(F.lag(F.lit(1)).over(w).isNull(), beyond("_before")).otherwise(F.lag(text).over(w))
+    after = F.when(F.lead(F.lit(1)).over(w).isNull(), beyond("_after")).otherwise(F.lead(text).over(w))
     side = lambda c: F.when(F.length(c) > 200, F.concat(F.left(c, F.lit(200)), F.lit("..."))).otherwise(c)
-    joined = F.concat_ws("  ", side(F.lag(text).over(w)), F.col(text), F.col(text), side(F.lead(text).over(w)))
-    return segments.withColumn("context_text", F.when(F.length(text) > max_length, F.col(text)).otherwise(joined))
+    joined = F.concat_ws("  ", side(before), F.col(text), F.col(text), side(after))
+    found = placed.join(F.broadcast(ends), "_p").withColumn("context_text", F.when(F.length(text) > max_length, F.col(text)).otherwise(joined))
+    return found.select(*segments.columns, "context_text")

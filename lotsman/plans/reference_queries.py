@@ -321,6 +321,15 @@ def context_window(spark, d):
     return an.with_context(rows, 100).select("row_id", "context_text")
 
 
+@query(f"""WITH o AS (SELECT row_id, segment_text AS t, lag(segment_text) OVER w AS p, lead(segment_text) OVER w AS n FROM (SELECT row_id, segment_text, CASE WHEN regexp_full_match(coalesce(doc_id, ''), '[\\s\\x{{00A0}}]*') THEN 'row ' || row_id ELSE doc_id END AS d FROM {SEGMENTS}) WINDOW w AS (PARTITION BY d ORDER BY row_id))
+SELECT row_id, CASE WHEN length(t) > 100 THEN t ELSE concat_ws('  ', CASE WHEN length(p) > 200 THEN left(p, 200) || '...' ELSE p END, t, t, CASE WHEN length(n) > 200 THEN left(n, 200) || '...' ELSE n END) END AS context_text FROM o""")
+def context_window_whole(spark, d):
+    """All segments; a row without doc_id has no neighbours."""
+    doc = F.when(tx.missing("doc_id").isNull(), F.concat(F.lit("row "), F.col("row_id"))).otherwise(F.col("doc_id"))
+    rows = table(spark, d, SEGMENTS).select("row_id", doc.alias("doc_id"), F.col("row_id").alias("segment_index"), "segment_text")
+    return an.with_context(rows, 100).select("row_id", "context_text")
+
+
 @query()
 def segment_text(spark, d):
     return sg.segments(table(spark, d, "documents"))

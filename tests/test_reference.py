@@ -1,6 +1,7 @@
 """Hand-derived cases of segmentation, filter, codes, aggregation, metrics, splits and batches."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,37 @@ def test_similarity_in_blocks(spark):
     comps = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)] + [(9, None)], "comp_id int, embedding array<float>")
     rows = lambda b: sorted(map(tuple, an.pair_scores(segs, comps, 2.0, b).collect()))
     assert rows(100) == rows(2) == sorted((1, i, j, float(i + j)) for i in range(4) for j in range(5) if i + j >= 2)
+
+
+def test_context_of_a_hot_document(spark):
+    """Neighbours are found across ranges, and every row keeps its place in a result."""
+    text = lambda i: None if i % 17 == 3 else f"{i} " * (150 if i % 5 == 0 else 1)
+    rows = [("hot", i, text(i)) for i in range(300)] + [(f"d{i % 9}", i, text(i)) for i in range(40)] + [(None, i, text(i)) for i in range(3)]
+    by: dict = {}
+    for d, i, t in rows:
+        by.setdefault(d, []).append((i, t))
+    side = lambda t: t[:200] + "..." if t and len(t) > 200 else t
+    want = {}
+    for d, some in by.items():
+        for k, (i, t) in enumerate(some):
+            near = [side(some[k - 1][1]) if k else None, t, t, side(some[k + 1][1]) if k + 1 < len(some) else None]
+            want[d, i] = t if t and len(t) > 100 else "  ".join(x for x in near if x is not None)
+    df = spark.createDataFrame(rows, "doc_id string, segment_index int, segment_text string")
+    for ranges in (None, 7):
+        got = an.with_context(df, 100, ranges=ranges).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.segment_index): r.context_text for r in got} == want
+
+
+def test_context_window_has_every_segment(spark):
+    from lotsman.plans.reference_queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{d}/gisnauka_segments_train_augmented.parquet").select("row_id", "doc_id", "segment_text")
+    got = {r.row_id: r.context_text for r in QUERIES["context_window_whole"](spark, d).collect()}
+    all_rows = {r.row_id: r for r in rows.collect()}
+    assert set(got) == set(all_rows)
+    hot = sorted(i for i, r in all_rows.items() if r.doc_id == "gisnauka_0")
+    short = [k for k in range(1, len(hot)) if len(all_rows[hot[k]].segment_text or "") <= 100 and all_rows[hot[k - 1]].segment_text]
+    assert len(hot) > 14 and short and all(got[hot[k]].startswith(all_rows[hot[k - 1]].segment_text[:200]) for k in short)
