@@ -63,6 +63,19 @@ def test_overlaps_against_all_pairs(spark):
     assert overlap.overlaps(samples(spark, []), {"test": samples(spark, test)}).count() == 0
 
 
+def test_overlaps_of_evenly_edited_records(spark):
+    """One word in seven or in five changed leaves few or no runs of five words."""
+    rng = random.Random(2)
+    vocabulary = [f"слово{i}" for i in range(3000)]
+    train = [(i, "", " ".join(rng.choices(vocabulary, k=100))) for i in range(40)]
+    edited = lambda text, every: " ".join(f"иное{i}" if i % every == every - 1 else w for i, w in enumerate(text.split()))
+    test = [(1000 + i, None, edited(t, 5 + 2 * (i % 2))) for i, _, t in train] + [(2000 + i, None, edited(t, 4)) for i, _, t in train]
+    got = {(r.train_row_id, r.eval_row_id) for r in overlap.overlaps(samples(spark, train), {"test": samples(spark, test)}).collect()}
+    assert got == {(i, 1000 + i) for i in range(40)}
+    tables = [spark.createDataFrame([(i, t) for i, _, t in rows], "id long, w string") for rows in (test, train)]
+    assert {(r.tkey, r.ekey) for r in overlap._matches(*tables, block=700).collect()} == got
+
+
 # ---- p3 ---------------------------------------------------------------------------------------------------------
 
 def test_copies(spark):
