@@ -87,8 +87,8 @@ WORD = re.compile(r"[^\W\d_]{2,}")
 #: A text or passage without any of these has no slot.
 SLOT_SIGNS = tuple("{ < [ # @@ XX. ХХ. ДД. DD. TODO TBD Введите Enter undefined NaN null None вписать вставить указать заполнить ВПИСАТЬ ВСТАВИТЬ УКАЗАТЬ ЗАПОЛНИТЬ Вписать Вставить Указать Заполнить".split()) + ("кните здесь", "ere to enter")
 RARE_SIGNS = (("__", re.compile("__[A-Z]")), ("%", re.compile("%[A-Z]")), ("?", re.compile(r"\?[A-Z]")), ("«", re.compile(r"«\s*[_….]")))
-#: A text without any of these, in lower case, has no message, or no filler.
-MESSAGE_SIGNS = tuple("forbidden,not found,gateway,unavailable,server error,unauthorized,too many,не найдена,запрещ,доступ ограничен,ошибка,error:,error 4,error 5,error #,server error,error\n,exception,истек,истёк,не удалось,подозрительная,не робот,a robot,human,javascript,скрипт,сценари,cookies,scripts,traceback,недоступ,превышено,timed,time out,timeout,.java:,denied,expired,bad request".split(","))
+#: A text without any of these, in lower case and with single spaces, has no message, or no filler.
+MESSAGE_SIGNS = tuple("forbidden,not found,gateway,unavailable,unauthorized,too many,bad request,не найдена,запрещ,доступ ограничен,ошибка,error,exception,истек,истёк,не удалось,подозрительная,не робот,a robot,human,script,скрипт,сценари,поддержку,cookies,traceback,недоступ,превышено,timed,time out,time-out,timeout,.java:,denied,expired,file \",on line".split(","))
 FILLER_SIGNS = tuple("lorem ipsum,xxx,ххх,aaa,ааа,zzz,рыба,будет текст,условными словами,заполнитель,placeholder,sample text,asdf,qwer,йцукен,фыва,zxcv,тест тест,test test".split(","))
 MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 SAME = re.compile(r"([^\W\d_])\1{2,}")
@@ -96,7 +96,7 @@ SAME = re.compile(r"([^\W\d_])\1{2,}")
 FRAME_WORDS = 5
 #: Different residues and ways of writing them that make a frame a template.
 FILLERS, WAYS = 5, 3
-#: Code points up to which a whole text can be an error page.
+#: Code points up to which a text with a message is an error page; in a longer one half of the passages are messages.
 PAGE = 600
 
 
@@ -125,7 +125,7 @@ def is_filler(passage: str) -> bool:
 
 def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
     """(residue for certain, holds an error message, [(frame, residue, way)])."""
-    low = text.lower()
+    low = " ".join(text.lower().split())
     can_message = any(k in low for k in MESSAGE_SIGNS)
     can_fill = any(k in low for k in FILLER_SIGNS)
     rough = text.split(". ")
@@ -159,9 +159,17 @@ def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
     return sure, message, frames
 
 
-def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def is_page(text: str) -> bool:
+    """Whether a text with a message is an error page as a whole, however long a stack trace makes it."""
+    if len(text) <= PAGE:
+        return True
+    hits = [MESSAGES.match(p) is not None for p in passages(text)]
+    return sum(hits) * 2 >= len(hits)
+
+
+def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages: bool = False) -> DataFrame:
     """(id, kind, frame, residue, way): kind "residue" or "message" is certain; "frame" is decided by the corpus, and
-    "page" is a short text with a message, digits and identifiers masked, a template where it repeats."""
+    "page", listed where ``pages``, is an error page, digits and identifiers masked, a template where it repeats."""
     small_batches(df.sparkSession)
     id_kind = df.schema[id_col].dataType.simpleString()
 
@@ -179,7 +187,7 @@ def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 sure, message, frames = read(text)
                 if sure or message:
                     put(i, "residue" if sure else "message", None, None, None)
-                if message and len(text) <= PAGE:
+                if pages and message and is_page(text):
                     lines = list(dict.fromkeys(MASK.sub("0", p) for p in passages(text)))
                     put(i, "page", "\n".join(lines), None, None)
                 for frame, residue, way in frames:
@@ -208,7 +216,7 @@ def found_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def page_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """(page, n_docs): whole-page error templates, with digits and identifiers masked, that repeat over documents."""
-    pages = evidence(df, id_col, text_col).where("kind = 'page'").select(id_col, F.col("frame").alias("page")).distinct()
+    pages = evidence(df, id_col, text_col, pages=True).where("kind = 'page'").select(id_col, F.col("frame").alias("page")).distinct()
     return pages.groupBy("page").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
 
 

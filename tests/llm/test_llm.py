@@ -291,3 +291,18 @@ def test_quick_signs_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(residue, "MESSAGE_SIGNS", ("",))
     monkeypatch.setattr(residue, "FILLER_SIGNS", ("",))
     assert plain == [residue.read(t) for t in HELD + FREE if t]
+
+
+MESSAGE_TEXTS = ["Error\t500", "404 Not  Found", "Request time-out", "Включите поддержку", "Script is disabled", 'File "a.py", line 3, in f', "Warning: bad header on line 5", "java.lang.OutOfMemoryError", "Internal  server error"]
+
+
+def test_every_message_passes_the_quick_look():
+    assert [t for t in MESSAGE_TEXTS if not residue.read(f"Отчёт.\n{t}")[1]] == []
+
+
+def test_long_error_pages_are_listed(spark):
+    trace = lambda i: f"java.lang.IllegalStateException: карточка {i}\n" + "\n".join(f"at ru.example.card.Service{chr(65 + k % 26)}.load(Service.java:{k})" for k in range(40))
+    prose = "Система хранит записи о заявках и показывает их заявителям в порядке поступления.\n" * 2 + "Второй раздел описывает порядок хранения и выдачи карточек в архиве организации.\n" * 2
+    rows = [(i, trace(i)) for i in range(3)] + [(10 + i, "".join(f"{k}-й вариант. {prose}" for k in "абвг") + "404 Not Found") for i in range(3)]
+    got = residue.page_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_docs for r in got] == [3] and got[0].page.startswith("java.lang")
