@@ -446,9 +446,11 @@ def code_counts(spark, d):
 
 @query()
 def neg_sampling(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    rel = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "doc_id")
-    return ds.negatives(rel.select("query_id"), docs, rel)
+    """Every document is a query; relevant to it are the documents of its text, itself among them."""
+    text = F.when(tx.missing("text").isNotNull(), F.md5("text")).otherwise(F.concat(F.lit("document "), F.col("doc_id")))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("same"))
+    rel = docs.select(F.col("doc_id").alias("query_id"), "same").join(docs, "same").select("query_id", "doc_id")
+    return ds.negatives(docs.select(F.col("doc_id").alias("query_id")), docs.select("doc_id"), rel)
 
 # ---- batches ----------------------------------------------------------------------------------------------------
 

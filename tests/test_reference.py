@@ -169,3 +169,22 @@ def test_context_window_has_every_segment(spark):
     hot = sorted(i for i, r in all_rows.items() if r.doc_id == "gisnauka_0")
     short = [k for k in range(1, len(hot)) if len(all_rows[hot[k]].segment_text or "") <= 100 and all_rows[hot[k - 1]].segment_text]
     assert len(hot) > 14 and short and all(got[hot[k]].startswith(all_rows[hot[k - 1]].segment_text[:200]) for k in short)
+
+
+def test_negatives_of_every_document(spark):
+    from lotsman.plans.reference_queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    copies: dict = {}
+    for i, t in text.items():
+        copies.setdefault(t if t and t.strip() else i, set()).add(i)
+    got: dict = {}
+    for r in QUERIES["neg_sampling"](spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert max(map(len, copies.values())) > 1 and set(got) == set(text)
+    for same in copies.values():
+        for i in same:
+            assert len(got[i]) == len(set(got[i])) == len(same) and not same & set(got[i])
