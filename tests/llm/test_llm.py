@@ -1,7 +1,9 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,8 +74,33 @@ def test_overlaps_of_evenly_edited_records(spark):
     test = [(1000 + i, None, edited(t, 5 + 2 * (i % 2))) for i, _, t in train] + [(2000 + i, None, edited(t, 4)) for i, _, t in train]
     got = {(r.train_row_id, r.eval_row_id) for r in overlap.overlaps(samples(spark, train), {"test": samples(spark, test)}).collect()}
     assert got == {(i, 1000 + i) for i in range(40)}
-    tables = [spark.createDataFrame([(i, t) for i, _, t in rows], "id long, w string") for rows in (test, train)]
+    tables = [spark.createDataFrame([(i, [zlib.crc32(w.encode()) for w in t.split()]) for i, _, t in rows], "id long, h array<long>") for rows in (test, train)]
     assert {(r.tkey, r.ekey) for r in overlap._matches(*tables, block=700).collect()} == got
+    by_rare_words = [(r.tkey, r.ekey) for r in overlap._matches(*tables, block=700, wide=1).collect()]
+    assert set(by_rare_words) == got and len(by_rare_words) == len(got)
+
+
+def test_meetings_lose_no_pair_however_edited():
+    """Words replaced, left out and put in by any pattern: every pair of four fifths is met, short records too."""
+    rng = random.Random(3)
+    pairs = 0
+    for turn in range(60):
+        size = rng.choice([3, 5, 7, 8, 9, 15, 40, 101])
+        common = [rng.randrange(10**6) if turn % 2 else rng.randrange(30) for _ in range(size)]
+        # Runs of two words, broken in turn by a word of either record: the longest edits that still count.
+        left, right = [], []
+        for i, w in enumerate(common):
+            left.append(w), right.append(w)
+            if i % 2 and rng.random() < 0.95:
+                (left if i // 2 % 2 else right).append(10**7 + i)
+        other = [rng.randrange(30) for _ in range(size)]
+        train, evals = [right, common, other, left[: size - 1]], [left, common[1:], other[::-1], right + [5]]
+        table = lambda rows: pa.table({"id": pa.array(range(len(rows))), "h": pa.array(rows, pa.list_(pa.int64()))})
+        want = {(e, t) for (e, a), (t, b) in itertools.product(enumerate(evals), enumerate(train)) if overlap.common_in_order(a, b) * 5 >= max(len(a), len(b)) * 4}
+        got = overlap._meet(table(evals), table(train))
+        assert set(zip(got["ekey"].to_pylist(), got["tkey"].to_pylist())) == want
+        pairs += len(want)
+    assert pairs > 200
 
 
 # ---- p3 ---------------------------------------------------------------------------------------------------------
