@@ -1,17 +1,19 @@
 """Subject areas of documents: term weights, truncated singular value decomposition, refined seed centroids.
 
-A sentence is embedded as the weighted sum of its terms' vectors: coordinates in the leading singular space of the
-document-term matrix, beside the terms' affinities to the areas.  Weights are inverse document frequency times
-purity (how far a term's use is bound to one area).  Centroids start from labelled rows and area names and are
-refined on documents that got one area.  A document has an area when at least two of its sentences are nearest to the
-area's centroid, by cosine, above a threshold.
+Terms are stems, hashed to SLOTS numbers, so that every term of every text takes part and all tables have a bound.  A
+term's weight is its inverse document frequency times its purity (how far its use is bound to one area).  The matrix
+of documents by weighted terms is decomposed; a term's vector is its row of right singular vectors times the singular
+values, a sentence's the weighted sum over its terms.  Centroids of the areas start from labelled rows and the areas'
+names.  A sentence belongs to the area whose centroid is nearest by cosine, above a threshold, and a document has an
+area when at least two of its sentences do.  Weights, decomposition and centroids are then refined on the documents
+that got one area.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,17 +23,21 @@ from pyspark.sql import functions as F
 
 from lotsman.session import small_batches, stash
 
-VOCABULARY = 16_384  # terms kept, by the number of sentences; bounds all that is broadcast or gathered
+SLOTS = 1 << 18  # numbers that terms are hashed to: bounds all that is broadcast or gathered
 LEAST_SENTENCES = 3  # of a term
-RANK = 64
-POWER_STEPS = 3
+RANK = 128
+POWER_STEPS = (3, 2)  # passes of the first decomposition, and of the second, which starts from the first
 REFINEMENTS = 2
 PURITY = 0.25  # below it a term has no weight
-AFFINITY = 0.6  # share of the affinity cosine in the score
-SCORE = 0.45
+SCORE = 0.3  # least cosine of a sentence to its area
 STRONGEST = 0.4  # least weight of a sentence's strongest term
+PRIOR = 5  # sentences at which a term's pull on the centroids is half of what it can be
 SENTENCES = 2  # of an area in a document
-BLOCKS = 16
+EVEN = 1  # sentences, spread evenly over the areas, that are added to those of each term
+CENTROIDS = 2  # of an area
+ROUNDS = 5  # in which terms are dealt to an area's centroids
+BLOCKS = 16  # into which a gathered table is cut
+FAN = 64  # tables added up by one task
 
 SENTENCE = re.compile(r"(?<=[.!?;…])\s+(?=[A-ZА-ЯЁ\d«(•–—*-])|[\r\n]+")
 WORD = re.compile(r"[^\W\d_]{3,}")
@@ -43,193 +49,238 @@ def term(word: str) -> str:
     return w[: max(4, min(len(w) - 2, 8))]
 
 
-def sentences(text: str) -> list[list[str]]:
+class Slots(dict):
+    """The number of each word's stem, computed once a word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = n = zlib.crc32(term(word).encode()) % SLOTS
+        return n
+
+
+def sentences(text: str, slots: Slots) -> list[list[int]]:
     """Different terms of each sentence with at least two words."""
-    out = []
-    for s in SENTENCE.split(text):
-        found = WORD.findall(s)
-        if len(found) >= 2:
-            out.append(sorted({term(w) for w in found}))
-    return out
+    return [sorted({slots[w] for w in found}) for s in SENTENCE.split(text) if len(found := WORD.findall(s)) >= 2]
 
 
-def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """(terms, sentences with the term, sentences); counts cover all texts, at most VOCABULARY rows are gathered."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for s in sentences(text):
-                    c.update(s)
-                    c[""] += 1
-            if len(c) > 200_000:
-                yield pa.RecordBatch.from_pydict({"t": list(c), "n": list(c.values())}, schema=schema)
-                c.clear()
-        yield pa.RecordBatch.from_pydict({"t": list(c), "n": list(c.values())}, schema=schema)
-
-    schema = pa.schema([("t", pa.string()), ("n", pa.int64())])
-    counts = stash(texts.select("text").mapInArrow(count, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")), "terms")
-    total = counts.where("t = ''").first()
-    kept = counts.where((F.col("t") != "") & (F.col("n") >= LEAST_SENTENCES)).orderBy(F.desc("n"), "t").limit(VOCABULARY).collect()
-    return [r["t"] for r in kept], np.array([r["n"] for r in kept], float), int(total["n"]) if total else 0
-
-
-def _encoded(texts: DataFrame, terms: list[str]) -> DataFrame:
+def _encoded(texts: DataFrame) -> DataFrame:
     """``texts`` with the sentences as lists of term numbers instead of the text."""
-    shared = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        slots = Slots()
         for batch in batches:
-            lists = [[ids for s in sentences(x) if (ids := [number[t] for t in s if t in number])] for x in batch.column(3).to_pylist()]
+            lists = [sentences(x, slots) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(lists, pa.list_(pa.list_(pa.int32())))], names=["table_name", "row_id", "labels", "s"])
 
     return texts.select("table_name", "row_id", "labels", "text").mapInArrow(run, "table_name string, row_id bigint, labels array<int>, s array<array<int>>")
 
 
-def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(term numbers, start of each sentence, document of each sentence, documents); no sentence is empty."""
-    docs = column.fill_null([]) if column.null_count else column
-    inner = docs.flatten()
-    per_doc = np.diff(docs.offsets.to_numpy())
-    per_sentence = np.diff(inner.offsets.to_numpy())
-    ids = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(per_sentence)[:-1]]).astype(np.int64) if len(per_sentence) else np.zeros(0, np.int64)
-    return ids, starts, np.repeat(np.arange(len(per_doc)), per_doc), len(per_doc)
+class Sentences:
+    """The sentences of a batch as arrays: ``ids`` of the terms, ``sentence`` of each term, ``owner`` of each sentence."""
 
+    def __init__(self, column: pa.Array):
+        docs = column.fill_null([]) if column.null_count else column
+        inner = docs.flatten()
+        self.n = len(docs)
+        self.owner = np.repeat(np.arange(self.n), np.diff(docs.offsets.to_numpy()))
+        self.ids = inner.flatten().to_numpy(zero_copy_only=False)
+        self.sentence = np.repeat(np.arange(len(self.owner)), np.diff(inner.offsets.to_numpy()))
 
-def _sum_by(target: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """target[index] += values, with equal indexes added up."""
-    if len(index):
-        order = np.argsort(index, kind="stable")
-        first = np.flatnonzero(np.diff(index[order], prepend=-1))
-        target[index[order][first]] += np.add.reduceat(values[order], first, axis=0)
+
+def _sum_rows(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``by``, which rises."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(by):
+        first = np.flatnonzero(np.diff(by, prepend=-1))
+        out[by[first]] = np.add.reduceat(values, first, axis=0)
+    return out
 
 
-def _gathered(docs: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all documents of ``partial(batch) -> matrix``: by partition, then by blocks of rows; ``shape`` is bounded."""
+def _gathered(docs: DataFrame, partial: Callable[[pa.RecordBatch, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all documents of ``partial(batch, total)``; ``shape`` has a bound.
+
+    Each partition's table is cut into blocks of rows, and blocks are added up as a tree, FAN at a time, so that no task
+    and not the driver holds more than a bounded number of tables, whatever the number of partitions.
+    """
     step = -(-shape[0] // BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             partial(batch, total)
-        yield pa.RecordBatch.from_pydict({"b": pa.array(range(BLOCKS), pa.int32()), "m": pa.array([total[i * step : (i + 1) * step].astype(np.float32).tobytes() for i in range(BLOCKS)], pa.binary())})
+        for b in range(BLOCKS):
+            part = total[b * step : (b + 1) * step]
+            rows = np.flatnonzero(part.any(1)).astype(np.int32)
+            if len(rows):
+                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "i": pa.array([rows.tobytes()], pa.binary()), "m": pa.array([part[rows].tobytes()], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in pdf["m"])
-        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "m": [np.asarray(total, np.float64).tobytes()]})
-
-    rows = docs.mapInArrow(run, "b int, m binary").groupBy("b").applyInPandas(add, "b int, m binary").collect()
+        total = np.zeros((step, shape[1]))
+        for i, m in zip(pdf["i"], pdf["m"]):
+            total[np.frombuffer(i, np.int32)] += np.frombuffer(m, np.float64).reshape(-1, shape[1])
+        rows = np.flatnonzero(total.any(1)).astype(np.int32)
+        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "p": [pdf["p"].iloc[0] // FAN], "i": [rows.tobytes()], "m": [total[rows].tobytes()]})
+
+    schema = "b int, p int, i binary, m binary"
+    parts = docs.rdd.getNumPartitions()
+    tables = docs.mapInArrow(run, "b int, i binary, m binary").select("b", F.spark_partition_id().alias("p"), "i", "m")
+    while parts > 1:
+        tables = tables.groupBy("b", F.floor(F.col("p") / FAN)).applyInPandas(add, schema)
+        parts = -(-parts // FAN)
     out = np.zeros(shape)
-    for r in rows:
-        block = np.frombuffer(bytes(r["m"]), np.float64).reshape(-1, shape[1])
-        out[r["b"] * step : r["b"] * step + len(block)] = block
+    for r in tables.toLocalIterator():
+        out[r["b"] * step + np.frombuffer(bytes(r["i"]), np.int32)] += np.frombuffer(bytes(r["m"]), np.float64).reshape(-1, shape[1])
     return out
 
 
-def _document_terms(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document, term, unit-length weight) of a batch, ordered by document."""
-    ids, starts, owner, n = _arrays(batch.column(3))
-    if not len(ids):
-        return ids, ids, np.zeros(0), n
-    doc = np.repeat(owner, np.diff(np.append(starts, len(ids))))
-    key, count = np.unique(doc * len(idf) + ids, return_counts=True)
-    d, t = key // len(idf), key % len(idf)
-    v = (1 + np.log(count)) * idf[t]
-    length = np.sqrt(np.bincount(d, v * v, minlength=n))
-    return d, t, v / np.maximum(length[d], 1e-12), n
+def _often(docs: DataFrame) -> np.ndarray:
+    """Sentences with each term, and all sentences in the last place, over all documents."""
+
+    def partial(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        s = Sentences(batch.column(3))
+        total[:-1, 0] += np.bincount(s.ids, minlength=SLOTS)
+        total[-1, 0] += len(s.owner)
 
+    return _gathered(docs, partial, (SLOTS + 1, 1))[:, 0]
 
-def _singular_vectors(docs: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors of the document-term matrix by power iteration on a random block; one pass a step."""
-    rank = min(rank, len(idf))
-    y = np.linalg.qr(np.random.default_rng(0).standard_normal((len(idf), rank)))[0]
-    b = y
-    for _ in range(POWER_STEPS):
-        shared = docs.sparkSession.sparkContext.broadcast((y, idf))
+
+def _singular(docs: DataFrame, weight: np.ndarray, rank: int, steps: int, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(terms with a weight, their rows of right singular vectors times the singular values), of the weighted documents.
+
+    Power iteration on a block of ``rank`` vectors, random or the ones of ``before``; one pass over all documents a
+    step.
+    """
+    active = np.flatnonzero(weight > 0)
+    if not len(active):
+        return active, np.zeros((0, 1))
+    number = np.full(SLOTS, -1, np.int64)
+    number[active] = np.arange(len(active))
+    y = np.random.default_rng(0).standard_normal((len(active), min(rank, len(active))))
+    if before is not None and before[1].shape[1] <= y.shape[1]:
+        here = number[before[0]]
+        y[here[here >= 0], : before[1].shape[1]] = before[1][here >= 0]
+    y = np.linalg.qr(y)[0]
+    for _ in range(steps):
+        shared = docs.sparkSession.sparkContext.broadcast((number, weight[active], y))
 
         def partial(batch: pa.RecordBatch, total: np.ndarray, shared=shared) -> None:
-            y, idf = shared.value
-            d, t, v, n = _document_terms(batch, idf)
-            if len(d):
-                z = np.zeros((n, y.shape[1]))
-                _sum_by(z, d, v[:, None] * y[t])
-                _sum_by(total, t, v[:, None] * z[d])
+            number, w, y = shared.value
+            s = Sentences(batch.column(3))
+            t = number[s.ids]
+            doc = s.owner[s.sentence][t >= 0]
+            key, count = np.unique(doc * len(w) + t[t >= 0], return_counts=True)
+            doc, t = key // len(w), key % len(w)
+            v = (1 + np.log(count)) * w[t]
+            v /= np.maximum(np.sqrt(np.bincount(doc, v * v, minlength=s.n))[doc], 1e-12)
+            z = _sum_rows(v[:, None] * y[t], doc, s.n)
+            by = np.argsort(t, kind="stable")
+            total += _sum_rows((v[:, None] * z[doc])[by], t[by], len(w))
 
         b = _gathered(docs, partial, y.shape)
+        square, turn = np.linalg.eigh(y.T @ b)
+        order = np.argsort(-square)
+        square, turn = np.maximum(square[order], 1e-12), turn[:, order]
+        vectors = b @ turn / square
         y = np.linalg.qr(b)[0]
-    return y @ np.linalg.svd(y.T @ b)[0] if len(idf) else y
+    return active, vectors * np.sqrt(square)
+
+
+def _purity(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(purity of each term, its share by area over an even one), from its sentences by area."""
+    n = counts.shape[1]
+    rate = counts / np.maximum(sizes, 1)
+    total = counts.sum(1, keepdims=True)
+    p = (rate + 1e-9) / (rate.sum(1, keepdims=True) + n * 1e-9)
+    p = (p * total + EVEN / n) / (total + EVEN)
+    return (p * np.log(p * n)).sum(1) / np.log(n), p - 1 / n
+
+
+def weights(counts: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf * np.maximum(0, _purity(counts, sizes)[0] - PURITY)
+
+
+def centroids(vectors: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Up to CENTROIDS unit vectors of an area from its terms, as terms of different languages hardly meet: the terms
+    are dealt to the nearest centroid in turn, and a new centroid starts from the term that pulls most from afar."""
+    length = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    unit = vectors / length
+    drawn = pull[:, None] * vectors
+    norm = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    out = norm(drawn.sum(0, keepdims=True))
+    while len(vectors) and len(out) < CENTROIDS:
+        far = pull * np.maximum(0, 1 - (unit @ out.T).max(1)) * (length[:, 0] > 1e-9)
+        if far.max() <= 0:
+            break
+        out = np.concatenate([out, unit[[far.argmax()]]])
+        for _ in range(ROUNDS):
+            near = (unit @ out.T).argmax(1)
+            sums = np.stack([drawn[near == k].sum(0) for k in range(len(out))])
+            out = norm(np.where(sums.any(1, keepdims=True), sums, out))
+    return out
 
 
 class Model:
     """Term vectors, weights and centroids; ``counts`` are a term's sentences by area, ``sizes`` the sentences of an area."""
 
-    def __init__(self, vectors: np.ndarray, idf: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
-        n = counts.shape[1]
-        rate = counts / np.maximum(sizes, 1)
-        total = counts.sum(1, keepdims=True)
-        p = (rate + 1e-9) / (rate.sum(1, keepdims=True) + n * 1e-9)
-        p = (p * total + 1 / n) / (total + 1)
-        self.purity = (p * np.log(p * n)).sum(1) / np.log(n)
-        self.weight = idf * np.maximum(0, self.purity - PURITY)
-        self.vectors, self.affinity = vectors, p - 1 / n
-        c = (self.weight[:, None] * np.maximum(0, self.affinity) * np.minimum(total, 50)).T @ vectors
-        self.centroids = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        e = np.eye(n) - 1 / n
-        self.corners = e / np.linalg.norm(e, axis=1, keepdims=True)
-
-    def sentence_areas(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def __init__(self, terms: np.ndarray, vectors: np.ndarray, idf: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
+        self.areas = counts.shape[1]
+        weight = weights(counts, sizes, idf)[terms]
+        total = counts[terms].sum(1, keepdims=True)
+        pull = weight[:, None] * np.maximum(0, _purity(counts[terms], sizes)[1]) * total / (total + PRIOR)
+        found = [centroids(vectors[at], pull[at, a]) for a in range(self.areas) for at in [np.flatnonzero(pull[:, a] > 0)]]
+        self.centroids = np.concatenate(found).astype(np.float32)
+        self.first = np.cumsum([0, *(len(x) for x in found[:-1])])
+        active = np.flatnonzero(weight > 0)
+        self.number = np.full(SLOTS, -1, np.int32)
+        self.number[terms[active]] = np.arange(len(active))
+        self.weight = weight[active].astype(np.float32)
+        self.vectors = self.weight[:, None] * vectors[active].astype(np.float32)
+
+    def sentence_areas(self, s: Sentences) -> np.ndarray:
         """The area of each sentence, or -1."""
-        if not len(ids):
-            return np.zeros(0, np.int64)
-        w = self.weight[ids]
-        x = np.add.reduceat(w[:, None] * self.vectors[ids], starts, axis=0)
-        y = np.add.reduceat(w[:, None] * self.affinity[ids], starts, axis=0)
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        score = (1 - AFFINITY) * unit(x) @ self.centroids.T + AFFINITY * unit(y) @ self.corners.T
-        ok = (score.max(1) >= SCORE) & (np.maximum.reduceat(w, starts) >= STRONGEST)
-        return np.where(ok, score.argmax(1), -1)
-
-    def document_areas(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        t = self.number[s.ids]
+        sentence, t = s.sentence[t >= 0], t[t >= 0]
+        out = np.full(len(s.owner), -1)
+        at, first = np.unique(sentence, return_index=True)
+        if len(at):
+            x = np.add.reduceat(self.vectors[t], first, axis=0)
+            score = x @ self.centroids.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            score = np.maximum.reduceat(score, self.first, axis=1)
+            ok = (score.max(1) >= SCORE) & (np.maximum.reduceat(self.weight[t], first) >= STRONGEST)
+            out[at] = np.where(ok, score.argmax(1), -1)
+        return out
+
+    def document_areas(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
         """(sentences by document and area, area of each sentence)."""
-        ids, starts, owner, n = _arrays(batch.column(3))
-        area = self.sentence_areas(ids, starts)
-        k = self.corners.shape[0]
+        area = self.sentence_areas(s)
         ok = area >= 0
-        return np.bincount(owner[ok] * k + area[ok], minlength=n * k).reshape(n, k), area
-
-
-def _labels(batch: pa.RecordBatch) -> list:
-    return batch.column(2).to_pylist()
+        return np.bincount(s.owner[ok] * self.areas + area[ok], minlength=s.n * self.areas).reshape(s.n, self.areas), area
 
 
-def _count_terms(docs: DataFrame, n_terms: int, n_areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+def _count_terms(docs: DataFrame, n_areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
     """Terms of the sentences of documents with one area (labelled, or given by ``model``), and sentences, by area."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def partial(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        m = shared.value
-        ids, starts, owner, n = _arrays(batch.column(3))
-        if not len(ids):
-            return
-        one = np.full(n, -1)
-        area = np.full(len(starts), -1)
-        if m is not None:
-            got, area = m.document_areas(batch)
+        s = Sentences(batch.column(3))
+        one, area = np.full(s.n, -1), np.full(len(s.owner), -1)
+        if shared.value is not None:
+            got, area = shared.value.document_areas(s)
             has = got >= SENTENCES
             one = np.where(has.sum(1) == 1, has.argmax(1), -1)
-        for i, known in enumerate(_labels(batch)):
-            if known is not None:
-                one[i] = known[0] if len(known) == 1 else -1
-        of = one[owner]
+        labels = batch.column(2)
+        for i in np.flatnonzero(labels.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            known = labels[i].as_py()
+            one[i] = known[0] if len(known) == 1 else -1
+        of = one[s.owner]
         keep = (of >= 0) & ((area < 0) | (area == of))
-        where = np.repeat(np.where(keep, of, -1), np.diff(np.append(starts, len(ids))))
-        ok = where >= 0
-        total[:-1] += np.bincount(ids[ok] * n_areas + where[ok], minlength=n_terms * n_areas).reshape(n_terms, n_areas)
+        term_area = np.where(keep, of, -1)[s.sentence]
+        ok = term_area >= 0
+        np.add.at(total, (s.ids[ok], term_area[ok]), 1)
         total[-1] += np.bincount(of[keep], minlength=n_areas)
 
-    m = _gathered(docs, partial, (n_terms + 1, n_areas))
+    m = _gathered(docs if model is not None else docs.where("labels is not null"), partial, (SLOTS + 1, n_areas))
     return m[:-1], m[-1]
 
 
@@ -237,9 +288,9 @@ def assign_areas(texts: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
     """(table_name, row_id, area) for ``texts`` (table_name, row_id, text), one row an area.
 
     ``areas`` (area, area_label) is a fixed list; ``labels`` (table_name, row_id, area) holds complete labels of some
-    rows, which only train: labelled rows are assigned by the model like all others.  Null, blank and short texts have no area; a single mention is none.  Repeated
-    texts are assigned alike.  Without areas, labels or texts there are no rows.  All texts are counted and assigned;
-    what is broadcast or gathered is bounded by VOCABULARY.
+    rows, which only train: labelled rows are assigned by the model like all others.  Null, blank and short texts have
+    no area; a single mention is none.  Repeated texts are assigned alike.  Without areas, labels or texts there are no
+    rows.  All texts are counted, decomposed and assigned; what is broadcast or gathered is bounded by SLOTS.
     """
     spark = texts.sparkSession
     small_batches(spark, 2000)
@@ -250,28 +301,31 @@ def assign_areas(texts: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
     order = F.create_map(*[x for i, (a, _) in enumerate(names) for x in (F.lit(a), F.lit(i))])
     known = labels.where(F.col("area").isin([a for a, _ in names])).groupBy("table_name", "row_id").agg(F.array_sort(F.collect_set(order[F.col("area")])).alias("labels"))
     full = texts.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("table_name", F.col("row_id").cast("bigint").alias("row_id"), "text")
-    terms, often, total = _vocabulary(full)
-    if not terms:
+    docs = stash(_encoded(full.join(known, ["table_name", "row_id"], "left").select("table_name", "row_id", "labels", "text")), "docs")
+    often = _often(docs)
+    if not often[-1]:
         return empty
-    idf = np.log(max(total, 2) / often)
-    docs = stash(_encoded(full.join(known, ["table_name", "row_id"], "left").select("table_name", "row_id", "labels", "text"), terms), "docs")
-    vectors = _singular_vectors(docs, np.maximum(idf, 1e-3), RANK)
-    number = {t: i for i, t in enumerate(terms)}
-    counts, sizes = _count_terms(docs, len(terms), len(names), None)
+    idf = np.where(often[:-1] >= LEAST_SENTENCES, np.log(max(often[-1], 2) / np.maximum(often[:-1], 1)), 0)
+    counts, sizes = _count_terms(docs, len(names), None)
+    slots = Slots()
     for a, (_, label) in enumerate(names):  # the area's name is a seed of its own
         for w in WORD.findall(label):
-            if len(w) > 3 and term(w) in number:
-                counts[number[term(w)], a] += 1
+            if len(w) > 3:
+                counts[slots[w], a] += 1
         sizes[a] += 1
-    model = Model(vectors, idf, counts, sizes)
-    for _ in range(REFINEMENTS):
-        model = Model(vectors, idf, *_count_terms(docs, len(terms), len(names), model))
+    found = None
+    for turn in range(REFINEMENTS + 1):
+        if turn < len(POWER_STEPS):
+            found = _singular(docs, weights(counts, sizes, idf), RANK, POWER_STEPS[turn], found)
+        model = Model(*found, idf, counts, sizes)
+        if turn < REFINEMENTS:
+            counts, sizes = _count_terms(docs, len(names), model)
     shared = spark.sparkContext.broadcast((model, [a for a, _ in names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, area_names = shared.value
         for batch in batches:
-            row, area = np.nonzero(m.document_areas(batch)[0] >= SENTENCES)
+            row, area = np.nonzero(m.document_areas(Sentences(batch.column(3)))[0] >= SENTENCES)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([area_names[a] for a in area], pa.string())], names=["table_name", "row_id", "area"])
 
