@@ -125,9 +125,13 @@ def p10_pages(spark: SparkSession, d: str) -> DataFrame:
     return residue.page_templates(table(spark, d, "documents"))
 
 
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return residue.route_report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_report, p3_found, p3_records, p3_collisions, p4_found, p4_pieces, p5_found, p5_composition, p6_found, p6_splits, p6_report, p7_found, p7_sample, p7_report, p8_ids, p9_pack, p9_report, p10_found, p10_kept, p10_pages)
+    for f in (p2_found, p2_report, p3_found, p3_records, p3_collisions, p4_found, p4_pieces, p5_found, p5_composition, p6_found, p6_splits, p6_report, p7_found, p7_sample, p7_report, p8_ids, p9_pack, p9_report, p10_found, p10_kept, p10_pages, p10_report)
 }
 
 _CANON = "regexp_replace(lower(upper(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"

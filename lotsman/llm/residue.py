@@ -1,14 +1,17 @@
 """Template residue, filler text, error pages and script notices that stand where content should be.
 
-Texts are read as passages (lines, then sentences).  A span of the shape of an unfilled place gives a frame: the
-words beside it, with the span as slot.  Frames are aligned over the corpus: one whose slot holds several different
-residues, written in several ways, is a template; a frame that always holds the same span is prose about it.  Error
-messages count where a passage is the message, not where it speaks of one; whole pages that repeat over documents
-and hold such a message are listed as page templates.
+Texts are read as passages (lines, then sentences).  A span of the shape of an unfilled place is a seed; the words
+beside it are its frame, and passages of one frame are aligned over the corpus.  Where what stands in the frame's slot
+varies, the frame is a template and the slot is induced: seeds in it are residue, and so is any code-like span in it,
+in whatever notation.  A frame that always holds the same span
+is prose about it.  What no other record aligns with is decided by where it stands in its passage.  Messages count
+where a passage is the message.  Whole pages that repeat over documents but for identifiers and digits are page
+templates; those that hold an identifier that changes from copy to copy are made by machine, not content.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -84,6 +87,7 @@ BREAK = re.compile("[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\Wa-zа-яё_]|[«\"({\[<#@$%_?])")
 BULLET = re.compile(r"^\s*(?:[-*•–—·]\s+|\d+(?:\.\d+)*[.)]\s+|\d+(?:\.\d+)+\s+)")
 WORD = re.compile(r"[^\W\d_]{2,}")
+TOKEN = re.compile(r"\w+")
 #: A text or passage without any of these has no slot.
 SLOT_SIGNS = tuple("{ < [ # @@ XX. ХХ. ДД. DD. TODO TBD Введите Enter undefined NaN null None вписать вставить указать заполнить ВПИСАТЬ ВСТАВИТЬ УКАЗАТЬ ЗАПОЛНИТЬ Вписать Вставить Указать Заполнить".split()) + ("кните здесь", "ere to enter")
 RARE_SIGNS = (("__", re.compile("__[A-Z]")), ("%", re.compile("%[A-Z]")), ("?", re.compile(r"\?[A-Z]")), ("«", re.compile(r"«\s*[_….]")))
@@ -92,12 +96,21 @@ MESSAGE_SIGNS = tuple("forbidden,not found,gateway,unavailable,unauthorized,too
 FILLER_SIGNS = tuple("lorem ipsum,xxx,ххх,aaa,ааа,zzz,рыба,будет текст,условными словами,заполнитель,placeholder,sample text,asdf,qwer,йцукен,фыва,zxcv,тест тест,test test".split(","))
 MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 SAME = re.compile(r"([^\W\d_])\1{2,}")
-#: Words outside slots up to which a passage with a residue is a filled-in line, whatever the corpus has.
+#: Words outside slots up to which a passage that no other aligns with is a filled-in line.
 FRAME_WORDS = 5
-#: Different residues and ways of writing them that make a frame a template.
-FILLERS, WAYS = 5, 3
+#: Words of a passage from which on it is filler where it has four times as many words as different ones.
+MONOTONE = 8
+#: Of a frame's residues, the largest share that one value may have if the slot is to vary.
+SAME_SHARE = 0.5
+#: Records of a page that must differ in an identifier.
+PAGE_COPIES = 2
 #: Code points up to which a text with a message is an error page; in a longer one half of the passages are messages.
 PAGE = 600
+_SYMBOL = r"[{}\[\]<>#@$%&*_=~^\\?!+]{1,4}"
+#: A code-like span in any notation: words between symbols, a compound name, or a run of one sign.
+ODD = re.compile(rf"{_SYMBOL}\s?[^\W\d][\w.\- ]{{1,60}}?\s?{_SYMBOL}|\b[A-Za-z]+(?:_[A-Za-z0-9]+)+\b|[_*~=#]{{3,}}|(?:\.\s?){{5,}}|…{{2,}}|\b[XХ]{{2,}}\b")
+ODD_SIGN = re.compile(r"[{}\[\]<>#@$&*_~^\\]|\.\.\.\.|…|[XХ]{2}|%\w|\?\w")
+IDENTIFIER = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", re.I)
 
 
 def passages(text: str) -> Iterator[str]:
@@ -118,23 +131,42 @@ def is_filler(passage: str) -> bool:
     if "lorem ipsum" in low and sum(1 for w in WORD.findall(low) if re.match("[а-яё]", w)) < 3:
         return True
     words = WORD.findall(low)
+    every = TOKEN.findall(low)
+    if len(every) >= MONOTONE and len(set(every)) * 4 <= len(every) and words:
+        return True
     if len(words) >= 2 and sum(bool(SAME.fullmatch(w)) for w in words) * 3 >= len(words) * 2:
         return True
     return len(words) >= 4 and sum(w in MASH for w in words) * 10 >= len(words) * 8
 
 
-def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
-    """(residue for certain, holds an error message, [(frame, residue, way)])."""
+def frames_of(passage: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """The two frames of each span: a word before and one after, and two before and one after, up to the next span;
+    empty where they hold no word of three letters, or the narrow one lacks a side."""
+    out = []
+    ends = [0, *(b for _, b in spans)]
+    starts = [*(a for a, _ in spans[1:]), len(passage)]
+    for (a, b), left, right in zip(spans, ends, starts):
+        before, after = passage[left:a].lower().split()[-2:], passage[b:right].lower().split()[:1]
+        narrow = f"{before[-1]}□{after[0]}" if before and after else ""
+        wide = f"{' '.join(before)}□{''.join(after)}"
+        out.append(tuple(f if any(len(w) > 2 for w in WORD.findall(f)) else "" for f in (narrow, wide)))
+    return out
+
+
+def read(text: str) -> tuple[bool, bool, bool, list[tuple[str, str, str, str]]]:
+    """(residue for certain, residue unless aligned records speak against it, holds an error message,
+    [("frame" | "odd", narrow frame, wide frame, residue)])."""
     low = " ".join(text.lower().split())
     can_message = any(k in low for k in MESSAGE_SIGNS)
-    can_fill = any(k in low for k in FILLER_SIGNS)
     rough = text.split(". ")
     lines = text.split("\n")
+    can_fill = any(k in low for k in FILLER_SIGNS) or any(len(w) >= MONOTONE and len(set(w)) * 2 <= len(w) for w in map(str.split, BREAK.split(text)))
     repeats = any(y and x.endswith(y) and z.startswith(y) for x, y, z in zip(rough, rough[1:], rough[2:])) or any(x == y == z and x for x, y, z in zip(lines, lines[1:], lines[2:]))
-    sure = message = False
-    frames: list[tuple[str, str, str]] = []
-    if not (can_message or can_fill or repeats or may_have_slot(text)):
-        return False, False, frames
+    slots, odd = may_have_slot(text), ODD_SIGN.search(text) is not None
+    sure = likely = message = False
+    frames: list[tuple[str, str, str, str]] = []
+    if not (can_message or can_fill or repeats or slots or odd):
+        return False, False, False, frames
     last, times = "", 0
     for p in passages(text):
         times = times + 1 if p == last else 1
@@ -145,18 +177,18 @@ def read(text: str) -> tuple[bool, bool, list[tuple[str, str, str]]]:
             message = True
         elif can_fill and is_filler(p):
             sure = True
-        elif may_have_slot(p):
-            found = list(SLOT.finditer(p))
-            ends = [0, *(m.end() for m in found)]
-            starts = [*(m.start() for m in found[1:]), len(p)]
-            for m, left, right in zip(found, ends, starts):
-                before, after = p[left : m.start()].split(), p[m.end() : right].split()
-                frames.append((f"{before[-1].lower() if before else ''}□{after[0].lower() if after else ''}", m.group(0), m.lastgroup))
+        elif slots and may_have_slot(p) and (found := [m.span() for m in SLOT.finditer(p)]):
+            for (narrow, wide), (a, b) in zip(frames_of(p, found), found):
+                frames.append(("frame", narrow, wide, p[a:b]))
+                after = p[b:].split()
                 # Alone at the end, or glued before a sentence: nothing speaks of it.
-                sure = sure or m.end() == len(p) or (m.start() == 0 and bool(after) and after[0][0].isupper())
-            if found and len(WORD.findall(SLOT.sub(" ", p))) <= FRAME_WORDS:
-                sure = True
-    return sure, message, frames
+                likely = likely or b == len(p) or (a == 0 and bool(after) and after[0][0].isupper())
+            rest = len(WORD.findall(SLOT.sub(" ", p)))
+            sure = sure or rest == 0
+            likely = likely or rest <= FRAME_WORDS
+        elif odd and ODD_SIGN.search(p) and (found := [m.span() for m in ODD.finditer(p)]):
+            frames += [("odd", narrow, wide, p[a:b]) for (narrow, wide), (a, b) in zip(frames_of(p, found), found)]
+    return sure, likely, message, frames
 
 
 def is_page(text: str) -> bool:
@@ -168,10 +200,13 @@ def is_page(text: str) -> bool:
 
 
 def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages: bool = False) -> DataFrame:
-    """(id, kind, frame, residue, way): kind "residue" or "message" is certain; "frame" is decided by the corpus, and
-    "page", listed where ``pages``, is an error page, digits and identifiers masked, a template where it repeats."""
+    """(id, kind, narrow, wide, residue): kind "residue" and "message" are certain, "likely" is decided where no other
+    record aligns, "frame" and "odd" are spans to align.  "page" is a text that holds an identifier, as digest of the
+    text with digits and identifiers masked beside the digest of the text; "error" is an error page, masked, listed
+    where ``pages``."""
     small_batches(df.sparkSession)
     id_kind = df.schema[id_col].dataType.simpleString()
+    names = ["kind", "narrow", "wide", "residue"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,39 +219,66 @@ def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page
                     c.append(v)
 
             for i, text in enumerate(batch.column(1).to_pylist()):
-                sure, message, frames = read(text)
-                if sure or message:
-                    put(i, "residue" if sure else "message", None, None, None)
+                sure, likely, message, frames = read(text)
+                for kind, yes in (("residue", sure), ("message", message), ("likely", likely)):
+                    if yes:
+                        put(i, kind, None, None, None)
+                if IDENTIFIER.search(text):
+                    put(i, "page", None, hashlib.md5(MASK.sub("0", text).encode()).hexdigest(), hashlib.md5(text.encode()).hexdigest())
                 if pages and message and is_page(text):
-                    lines = list(dict.fromkeys(MASK.sub("0", p) for p in passages(text)))
-                    put(i, "page", "\n".join(lines), None, None)
-                for frame, residue, way in frames:
-                    put(i, "frame", frame, residue, way)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.string()) for c in cols)], names=[id_col, "kind", "frame", "residue", "way"])
+                    put(i, "error", None, "\n".join(dict.fromkeys(MASK.sub("0", p) for p in passages(text))), None)
+                for kind, narrow, wide, residue in frames:
+                    put(i, kind, narrow, wide, residue)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.string()) for c in cols)], names=[id_col, *names])
 
     texts = df.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, text_col)
-    return texts.mapInArrow(run, f"`{id_col}` {id_kind}, kind string, frame string, residue string, way string")
+    return texts.mapInArrow(run, f"`{id_col}` {id_kind}, " + ", ".join(f"{n} string" for n in names))
+
+
+def _met(rows: DataFrame, keys: DataFrame, id_col: str, salts: int) -> DataFrame:
+    """Rows whose ``k`` is among the distinct ``keys``, by key and salt."""
+    copies = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_s", salt(id_col, salts)).join(copies, ["k", "_s"], "left_semi").drop("_s")
 
 
-def found_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fillers: int = FILLERS, ways: int = WAYS, salts: int = 16) -> DataFrame:
-    """The ids of texts with at least one residue passage, one row an id.
+def routes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """(id, route) of texts with at least one residue passage, one row for each route that finds it.
 
-    Null, empty and blank texts are none.  Repeated rows count once.  One pass over the texts; only evidence is
-    shuffled.  Frames are counted by (frame, residue, way) first, so a frame that a third of all texts hold
-    is reduced map-side; evidence meets its frame's verdict by frame and salt.
+    Routes: "aligned" (a seed or code-like span in an induced slot), "page" (a machine-made page that repeats),
+    "message", "filler" (nothing but residue or filler in a passage) and "alone" (a seed at the end of a passage or in a
+    short one, whose frame no other record has).  All thresholds are shares, so the verdict on a text does not depend on
+    the size of the corpus.  Null, empty and blank texts are none.  Repeated rows count once.  One pass over the texts;
+    only evidence is shuffled.  Frames are counted by (frame, residue) first, so one that a third of all texts hold is
+    reduced map-side; evidence meets its frame's verdict by frame and salt.
     """
     e = stash(evidence(df, id_col, text_col), "evidence")
-    frames = e.where("kind = 'frame'").select(id_col, F.xxhash64("frame").alias("_f"), "residue", "way")
-    each = frames.groupBy("_f", "residue", "way").agg(F.count(F.lit(1)).alias("_n"))
-    induced = each.groupBy("_f").agg(F.countDistinct("residue").alias("_r"), F.countDistinct("way").alias("_w")).where((F.col("_r") >= fillers) & (F.col("_w") >= ways)).select("_f")
-    copies = induced.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    aligned = frames.withColumn("_s", salt(id_col, salts)).join(copies, ["_f", "_s"], "left_semi").select(id_col)
-    return e.where("kind in ('residue', 'message')").select(id_col).unionByName(aligned).distinct()
+    spans = e.where("kind in ('frame', 'odd')").withColumn("k", F.explode(F.array(*[F.when(F.col(c) != "", F.xxhash64(F.lit(c), c)) for c in ("narrow", "wide")]))).where("k is not null")
+    seeds = spans.where("kind = 'frame'").select(id_col, "k", F.xxhash64("residue").alias("v"))
+    each = seeds.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    induced = each.groupBy("k").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") <= F.col("n") * SAME_SHARE).select("k")
+    aligned = _met(spans.select(id_col, "k"), induced, id_col, salts).select(id_col, F.lit("aligned").alias("route"))
+    copies = e.where("kind = 'page'").groupBy("wide", "residue").agg(F.count(F.lit(1)).alias("n")).groupBy("wide").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGE_COPIES)
+    page = _met(e.where("kind = 'page'").select(id_col, F.xxhash64("wide").alias("k")), copies.select(F.xxhash64("wide").alias("k")), id_col, salts).select(id_col, F.lit("page").alias("route"))
+    route = F.when(F.col("kind") == "residue", "filler").when(F.col("kind") == "message", "message").otherwise("alone")
+    by_itself = e.where("kind in ('residue', 'message', 'likely')").select(id_col, route.alias("route"))
+    return aligned.unionByName(page).unionByName(by_itself).distinct()
+
+
+def found_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The ids of texts with at least one residue passage by any of the ``routes``, one row an id."""
+    return routes(df, id_col, text_col, salts).select(id_col).distinct()
+
+
+def route_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(route, n_docs): the texts found, each by the first of its routes in the order aligned, page, message, filler, alone."""
+    order = F.array(*[F.lit(r) for r in ("aligned", "page", "message", "filler", "alone")])
+    first = routes(df, id_col, text_col).groupBy(id_col).agg(F.min(F.array_position(order, F.col("route"))).alias("p"))
+    return first.groupBy(F.element_at(order, F.col("p").cast("int")).alias("route")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def page_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """(page, n_docs): whole-page error templates, with digits and identifiers masked, that repeat over documents."""
-    pages = evidence(df, id_col, text_col, pages=True).where("kind = 'page'").select(id_col, F.col("frame").alias("page")).distinct()
+    pages = evidence(df, id_col, text_col, pages=True).where("kind = 'error'").select(id_col, F.col("wide").alias("page")).distinct()
     return pages.groupBy("page").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
 
 
