@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lotsman.session import stash
 
-#: Units balanced by one task, hash groups at least and at most, bins of a group.  The driver sees MOST_GROUPS * BINS
-#: sums at most, whatever the data.
+#: Units balanced by one task, hash groups at least, groups whose bins the driver deals out, bins of a group.  The driver
+#: sees MOST_GROUPS * BINS sums at most, whatever the data.
 GROUP_UNITS = 200_000
 LEAST_GROUPS = 16
 MOST_GROUPS = 4096
@@ -42,31 +42,23 @@ def difference(weights: list[int], bins: int) -> list[int]:
     the largest gaps are combined, heavy bins with light ones, until one is left."""
     if not weights:
         return []
-    # A solution is a list of (sum, root) by bin; members of a root are joined by a linked tree, read at the end.
-    heap = []
-    for k, w in enumerate(weights):
-        heap.append((-w, k, [(w, ("leaf", k))]))  # only the bins in use; the rest are empty
+    # A solution is a list of (sum, members) by bin in use, heaviest first; members are a linked tree, read at the end.
+    heap = [(-w, k, [(w, ("leaf", k))]) for k, w in enumerate(weights)]
     heapq.heapify(heap)
     tie = len(weights)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        # a by falling sum on rising sum of b; missing bins are empty.
-        a.sort(key=lambda x: -x[0])
-        b.sort(key=lambda x: -x[0])
-        room = bins - len(a)
-        joined = a + b[: max(0, room)]
-        for s, tree in b[max(0, room) :]:
-            t = len(joined) - 1
-            joined.sort(key=lambda x: -x[0])
-            s0, tree0 = joined[t]
-            joined[t] = (s0 + s, ("both", tree0, tree))
-        top = max(x[0] for x in joined)
-        low = min(x[0] for x in joined) if len(joined) == bins else 0
-        heapq.heappush(heap, (low - top, tie, joined))
+        # Bins of a by falling sum on bins of b by rising sum, empty ones included: the lightest of either meet.
+        both = max(0, len(a) + len(b) - bins)
+        joined = a[: len(a) - both] + b[: len(b) - both]
+        joined += [(x + y, ("both", s, t)) for (x, s), (y, t) in zip(a[len(a) - both :], reversed(b[len(b) - both :]))]
+        joined.sort(key=lambda x: -x[0])
+        low = joined[-1][0] if len(joined) == bins else 0
+        heapq.heappush(heap, (low - joined[0][0], tie, joined))
         tie += 1
     out = [0] * len(weights)
-    for b, (_, tree) in enumerate(sorted(heap[0][2], key=lambda x: -x[0])):
+    for b, (_, tree) in enumerate(heap[0][2]):
         stack = [tree]
         while stack:
             t = stack.pop()
@@ -90,10 +82,14 @@ def allocate(bins: list[tuple[tuple, int]], shares: list[tuple[str, int]]) -> di
     return out
 
 
-def assign_units(weighted: DataFrame, shares: DataFrame, groups: int | None = None, bins: int = BINS) -> DataFrame:
-    """(unit, split_name) from (unit, n).  The driver sees at most ``groups * bins`` sums and the shares."""
+def assign_units(weighted: DataFrame, shares: DataFrame, groups: int | None = None, bins: int = BINS, most_groups: int = MOST_GROUPS) -> DataFrame:
+    """(unit, split_name) from (unit, n).
+
+    A group of units fits one task whatever their number; where there are more than ``most_groups`` groups, their bins
+    are balanced again as units, so the driver sees at most ``most_groups * bins`` sums and the shares.
+    """
     weighted = stash(weighted, "weights")
-    groups = groups or max(LEAST_GROUPS, min(MOST_GROUPS, weighted.count() // GROUP_UNITS))
+    groups = groups or max(LEAST_GROUPS, weighted.count() // GROUP_UNITS)
 
     def balance(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # Units of one weight are exchangeable: a full round of them, one a bin, changes no difference.
@@ -109,6 +105,10 @@ def assign_units(weighted: DataFrame, shares: DataFrame, groups: int | None = No
 
     grouped = weighted.select("unit", "n", F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int").alias("_g"))
     binned = stash(grouped.groupBy("_g").applyInPandas(balance, "unit string, n bigint, grp int, bin int"), "bins")
+    if groups > most_groups:  # the bins are units in their turn: fewer by GROUP_UNITS / bins
+        whole = F.concat_ws(":", "grp", "bin")
+        of_bin = assign_units(binned.groupBy(whole.alias("unit")).agg(F.sum("n").alias("n")), shares, most_groups=most_groups).withColumnRenamed("unit", "_bin")
+        return binned.withColumn("_bin", whole).join(of_bin, "_bin").select("unit", "split_name")
     sums = [((r["grp"], r["bin"]), int(r["n"])) for r in binned.groupBy("grp", "bin").agg(F.sum("n").alias("n")).collect()]
     share_rows = sorted((r["split_name"], int(r["share_permille"])) for r in shares.where("split_name is not null and share_permille > 0").collect())
     if not sums or not share_rows:
@@ -135,9 +135,11 @@ def assign_splits(rows: DataFrame, shares: DataFrame, id_col: str = "row_id", do
 def found_spellings(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc_id_a, doc_id_b): every two different stored ids of one document, the smaller first; missing ids are none.
 
-    Works on distinct ids, so rows of a hot document count once for each spelling.
+    Read off the units that ``assign_splits`` keeps together, on distinct ids, so rows of a hot document count once for
+    each spelling.
     """
-    spelled = rows.select(F.col(doc_col).alias("doc_id")).distinct().withColumn("unit", document_key("doc_id")).where("unit is not null")
+    distinct = rows.select("table_name", doc_col).groupBy(doc_col).agg(F.min("table_name").alias("table_name")).where(document_key(doc_col).isNotNull())
+    spelled = units(distinct, doc_col, doc_col).select(F.col(doc_col).alias("doc_id"), "unit")
     a, b = spelled.withColumnRenamed("doc_id", "doc_id_a"), spelled.withColumnRenamed("doc_id", "doc_id_b")
     return a.join(b, "unit").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 

@@ -283,6 +283,33 @@ def test_best_fit_is_tight():
     assert (c.max() + 1) * 2048 < s.sum() * 1.01
 
 
+def test_lengths_are_chosen_together():
+    """Choosing lengths changes what is placed where, and saves room that cutting down at the end cannot."""
+    sizes = np.array([1500] * 900 + [500] * 50 + [40] * 300)
+    waste = {}
+    for lengths in (packing.LENGTHS, (2048,)):
+        c, slot, start, length = packing.best_fit(sizes, lengths)
+        used = np.bincount(c, sizes)
+        cut = np.array(packing.LENGTHS)[np.searchsorted(packing.LENGTHS, used)]
+        waste[lengths] = (cut.sum() - sizes.sum(), c.tolist())
+        assert used.max() <= 2048 and (used[c] <= length).all()
+    assert waste[packing.LENGTHS][0] < waste[(2048,)][0] and waste[packing.LENGTHS][1] != waste[(2048,)][1]
+
+
+def test_bins_are_units_where_groups_are_many(spark):
+    weighted = spark.createDataFrame([(f"u{i}", 1 + i % 7) for i in range(3000)] + [("hot", 4000)], "unit string, n long")
+    shares = spark.createDataFrame([("train", 800), ("valid", 100), ("test", 100)], "split_name string, share_permille int")
+    got = splits.assign_units(weighted, shares, groups=30, bins=8, most_groups=20).join(weighted, "unit")
+    sums = {r.split_name: r.n for r in got.groupBy("split_name").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sums.values())
+    assert got.count() == 3001 and all(abs(sums[k] / total - v) < 0.03 for k, v in (("train", 0.8), ("valid", 0.1), ("test", 0.1)))
+    rng = random.Random(5)
+    weights = [rng.randrange(1, 1000) for _ in range(97)]
+    bins = splits.difference(weights, 5)
+    sums = [sum(w for w, b in zip(weights, bins) if b == k) for k in range(5)]
+    assert max(sums) - min(sums) < 60
+
+
 # ---- p10 --------------------------------------------------------------------------------------------------------
 
 HELD = ["Срок завершения: <budget_total/>.", "Договор @@contract_no@@ от XX.XX.20XX заключён сторонами.", "Текст отчёта. #ЗНАЧ!", "Итог: xxxxx xxxx xxxxxxx", "asdf qwerty asdf qwerty тест 1",
