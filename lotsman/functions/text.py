@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 LEAF = r"^[0-9]+\.[0-9]+\.[0-9]+\z"
 #: Phrases that make a whole segment uninformative.
 STOP_PHRASES = ("проект", "утверждаю", "техническое задание", "согласовано", "приложение", "содержание", "раздел", "задачи:", "задача:", "цель:", "цель")
-#: Characters that mark a list item.
-BULLETS = "•‣◦▪●·"
+#: Characters that mark a list item before white space.
+LIST_SIGNS = "•‣◦▪●o·-"
+#: Signs after which two or more blanks become one.
+TIGHT_SIGNS = "•◦▪▫○●◉◯◐◑◒◓◔◕◖◗◘◙◚◛◜◝◞◟◠◡·o-"
+#: Characters that count as a blank.
+NO_BREAK = "\u00a0\u2007\u202f\u2060\ufeff"
+#: Notices that a document converter puts into a text.
+WATERMARKS = (r"Created with an evaluation copy of Aspose\.Words\..*?license/", r"Evaluation Only\. Created with Aspose\.Words\..*?Aspose Pty Ltd\.")
 
 
 def col(c: Column | str) -> Column:
@@ -70,6 +76,7 @@ def document_text(title: Column | str, abstract: Column | str) -> Column:
     return strip(F.concat(strip(title), F.lit("\n\n"), strip(abstract)))
 
 
+#: A label that begins with its code.
 _LABEL = r"^(\d{2}(?:\.\d{2}){0,2})\s*((?s).*)$"
 
 
@@ -103,8 +110,10 @@ def slug(c: Column | str) -> Column:
 
 
 def strip_bullet(c: Column | str) -> Column:
-    """Without a leading list mark: signs alone, or a dash or a Latin o before white space."""
-    return F.regexp_replace(col(c), rf"(?U)^\s*(?:[{BULLETS}]\s*|[-–o]\s+)", "")
+    """Without a leading list sign and the white space after it, and without a Latin o or a dot that follows it."""
+    sign = LIST_SIGNS.replace("-", r"\-")
+    out = F.regexp_replace(col(c), rf"(?U)^\s*[{sign}]\s+", "")
+    return strip(F.regexp_replace(F.regexp_replace(out, "^o ", ""), "^· ", ""))
 
 
 def join_hyphens(c: Column | str) -> Column:
@@ -112,11 +121,24 @@ def join_hyphens(c: Column | str) -> Column:
 
 
 def plain_spaces(c: Column | str) -> Column:
-    return F.translate(col(c), "\u00a0\u2007\u202f\u2009\u2002\u2003", "      ")
+    return F.translate(col(c), NO_BREAK, " " * len(NO_BREAK))
 
 
 def tight_bullets(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"([{BULLETS}\-–])[ \t]{{2,}}", "$1 ")
+    """One blank after a list sign, within a line."""
+    sign = TIGHT_SIGNS.replace("-", r"\-")
+    return F.regexp_replace(col(c), rf"(?U)([{sign}])[\s&&[^\n]]{{2,}}", "$1 ")
+
+
+def without_watermarks(c: Column | str) -> Column:
+    """A text without converter notices, page numbers among the first three lines or in the first line that is left,
+    blank lines at either end, and marks of byte order or zero width at the beginning."""
+    blank = r"[\s&&[^\n]]"
+    notice = "|".join(f"(?:{w})" for w in WATERMARKS)
+    kept = F.filter(F.split(col(c), "\n"), lambda x, i: ~x.rlike(f"(?i){notice}") & ~((i < 3) & x.rlike(r"(?U)^\s*\d+\s*$")))
+    s = F.regexp_replace(F.array_join(kept, "\n"), rf"(?U)^(?:{blank}*\n)+|(?:\n{blank}*)+$", "")
+    s = F.when(s.rlike(r"(?U)^\s*$"), "").otherwise(s)
+    return F.regexp_replace(F.regexp_replace(s, "^[\ufeff\u200b\u200c\u200d]+", ""), rf"(?U)^{blank}*\d+{blank}*(?:\n|$)", "")
 
 
 def truncated(c: Column | str, size: int = 600, mark: str = "…") -> Column:
@@ -124,10 +146,45 @@ def truncated(c: Column | str, size: int = 600, mark: str = "…") -> Column:
 
 
 def repaired_json(line: Column | str) -> Column:
-    """A JSON line without a trailing comma, a comma inside a key's quotes, or a comma before a closing bracket."""
-    s = F.regexp_replace(strip(line), r"(?U)\s*,$", "")
-    s = F.regexp_replace(s, r'",\s*"?,?(\w+)"\s*:', '","$1":')
-    return F.regexp_replace(s, r",\s*([}\]])", "$1")
+    """A JSON line without a trailing comma, a comma that slid into a key's quotes, or a comma before a closing bracket."""
+    s = F.regexp_replace(strip(line), r"(?U),\s*$", "")
+    s = F.regexp_replace(s, r'(?U)",([A-Za-z_][A-Za-z0-9_]*)"\s*:', '"$1":')
+    return F.regexp_replace(s, r"(?U),\s*([}\]])", "$1")
+
+
+def clean_codes(codes: Column | str) -> Column:
+    """Codes of an array without white space and leading commas or semicolons; empty ones are left out."""
+    return F.filter(F.transform(col(codes), lambda x: F.regexp_replace(strip(x), "^[ ,;]+", "")), lambda x: x != "")
+
+
+def numbered_replies(reply: Column | str, size: int) -> Column:
+    """An array of ``size`` texts: slot n holds what follows ``n)`` in the last line that begins so, null without one."""
+    lines = F.transform(F.split(F.coalesce(col(reply), F.lit("")), r"\r?\n"), lambda x: strip(x))
+    numbered = F.filter(lines, lambda x: x.rlike(r"^[0-9]{1,9}\s*\)"))
+    number = lambda x: F.regexp_extract(x, r"^([0-9]{1,9})", 1).cast("int")
+    last = lambda n: F.try_element_at(F.filter(numbered, lambda x: number(x) == n), F.lit(-1))
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda n: strip_or_null(F.regexp_replace(last(n), r"^[0-9]{1,9}\s*\)", "")))
+
+
+def strip_or_null(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def evidence_of(numbers: Column | str, segments: Column | str, most: int = 2) -> Column:
+    """The segments that a reply names by number from 1, at most ``most``; numbers outside the list are left out."""
+    known = F.filter(col(numbers), lambda n: (n >= 1) & (n <= F.size(col(segments))))
+    return F.slice(F.transform(known, lambda n: F.element_at(col(segments), n.cast("int"))), 1, most)
+
+
+def chunks(items: Column | str, size: int) -> Column:
+    """An array cut into arrays of ``size`` items; the last may be shorter, an empty array has none."""
+    n = F.ceil(F.size(col(items)) / F.lit(size)).cast("int")
+    return F.when(n <= 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(col(items), i * size + 1, F.lit(size))))
+
+
+def number_text(x: Column | str) -> Column:
+    """A number as a part of a name: up to four digits after the point, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.4f", col(x).cast("double")), r"\.?0+$", "")
 
 
 def numbered_reply(reply: Column | str, number: int) -> Column:
@@ -141,6 +198,7 @@ def first_json(reply: Column | str) -> Column:
 
 def uninformative(c: Column | str, min_length: int = 15, headers: bool = True, dates: bool = True, phrases: bool = True) -> Column:
     """Whether a segment carries no content: too short, a stock phrase, a heading, a date, a place with a year, or digits."""
+    # The forms of headings, dates and places.
     s = strip(c)
     out = F.length(s) < max(1, min_length)
     if phrases:

@@ -32,23 +32,24 @@ class Config:
 EVALUATION = Config(threshold=0.52, top_k=5, method="mean_log_count")
 
 
-def pair_scores(segments: DataFrame, comps: DataFrame, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, segment_index, comp_id, score) of all pairs, or those at or above the threshold.
+Kernel = Callable[[pa.RecordBatch, np.ndarray, pa.Array], Iterator[pa.RecordBatch]]
+
 
-    ``segments`` (doc_id, segment_index, embedding), ``comps`` (comp_id, embedding).  A concept without a vector is
-    left out by id.  Each block of at most ``block`` vectors is broadcast and multiplied with batches of segments; the
-    threshold is applied there, so a window sees only what passes.
+def _against(segments: DataFrame, comps: DataFrame, kernel: Kernel, schema: str, block: int) -> DataFrame:
+    """``kernel`` over batches of segments and their scores against all concepts.
+
+    Concepts are dealt by a hash of their id into blocks of about ``block`` vectors; each block is broadcast, in order of
+    ids, and multiplied with batches of segments.  A concept without a vector is left out.
     """
-    rows = comps.where("embedding is not null").select("comp_id", "embedding").orderBy("comp_id")
-    n = rows.count()
-    numbered = rows if n <= block else rows.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("comp_id")) - 1) / block))
+    rows = comps.where("embedding is not null").select("comp_id", "embedding")
+    blocks = max(1, -(-rows.count() // block))
     out = None
-    kinds = {c: segments.schema[c].dataType.simpleString() for c in ("doc_id", "segment_index")}
-    schema = f"doc_id {kinds['doc_id']}, segment_index {kinds['segment_index']}, comp_id {comps.schema['comp_id'].dataType.simpleString()}, score double"
-    for b in range(max(1, -(-n // block))):
-        part = (rows if n <= block else numbered.where(F.col("_b") == b).drop("_b")).toArrow()
+    for b in range(blocks):
+        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("comp_id"), F.lit(blocks)) == b)
+        part = some.toArrow().sort_by("comp_id")
         ids = part.column("comp_id").combine_chunks()
-        matrix = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+        vectors = part.column("embedding").to_pylist()
+        matrix = np.array(vectors, np.float64).reshape(len(ids), len(vectors[0]) if vectors else 0)
         shared = segments.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -57,17 +58,50 @@ def pair_scores(segments: DataFrame, comps: DataFrame, threshold: float | None =
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
                     x = np.array(some.column(2).to_pylist(), np.float64).reshape(some.num_rows, -1)
-                    if not len(ids) or x.shape[1] != matrix.shape[1]:
-                        continue
-                    s = x @ matrix.T
-                    i, j = np.nonzero(s >= threshold) if threshold is not None else np.indices(s.shape).reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(i)), some.column(1).take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], names=["doc_id", "segment_index", "comp_id", "score"])
+                    if len(ids) and x.shape[1] == matrix.shape[1]:
+                        yield from kernel(some, x @ matrix.T, ids)
 
         one = segments.where("embedding is not null").select("doc_id", "segment_index", "embedding").mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _kinds(segments: DataFrame, comps: DataFrame) -> tuple[str, str, str]:
+    return (*(segments.schema[c].dataType.simpleString() for c in ("doc_id", "segment_index")), comps.schema["comp_id"].dataType.simpleString())
+
+
+def pair_scores(segments: DataFrame, comps: DataFrame, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, segment_index, comp_id, score) of all pairs, or those at or above the threshold.
+
+    ``segments`` (doc_id, segment_index, embedding), ``comps`` (comp_id, embedding).  The threshold is applied where the
+    scores are made, so a window sees only what passes.
+    """
+    def kernel(some: pa.RecordBatch, s: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        i, j = np.nonzero(s >= threshold) if threshold is not None else np.indices(s.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(i)), some.column(1).take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], names=["doc_id", "segment_index", "comp_id", "score"])
+
+    doc, index, comp = _kinds(segments, comps)
+    return _against(segments, comps, kernel, f"doc_id {doc}, segment_index {index}, comp_id {comp}, score double", block)
+
+
+def pooled(segments: DataFrame, comps: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``max_pooled`` of all pairs without making them: each batch keeps the ``k`` best concepts of each of its documents.
+
+    A concept among the k best of a document is among the k best where its best segment is, so none is lost.
+    """
+    def kernel(some: pa.RecordBatch, s: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        code = some.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        best = np.maximum.reduceat(s[order], first, axis=0)
+        top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+        docs = np.repeat(order[first], top.shape[1])
+        yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(docs)), ids.take(pa.array(top.ravel())), pa.array(np.take_along_axis(best, top, 1).ravel())], names=["doc_id", "comp_id", "score"])
+
+    doc, _, comp = _kinds(segments, comps)
+    return max_pooled(_against(segments, comps, kernel, f"doc_id {doc}, comp_id {comp}, score double", block), k)
+
+
 def top_segments(scores: DataFrame, k: int) -> DataFrame:
     """The k best segments of each document and concept; ties go to the earlier segment."""
     w = Window.partitionBy("doc_id", "comp_id").orderBy(F.desc("score"), "segment_index")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotsman.session import stash
 from lotsman.functions.text import grand_of, parent_of
 
 
@@ -156,19 +157,24 @@ class Picker:
         self.n_grand[self.grand[i]] += 1
 
     def pick(self, target: tuple[float, ...], rng: np.random.Generator) -> int:
-        """The best of some candidates drawn by weight; constraints go one by one, in favour of siblings' safety last."""
+        """The best of some candidates drawn by weight, else the first fit of all in random order; constraints are
+        dropped one by one where nothing fits: safety of siblings, then gold codes, then repeats."""
         pool = np.flatnonzero(self.free)
-        some = pool
-        if len(pool) > self.cfg.candidates:
-            some = rng.choice(pool, self.cfg.candidates, replace=False, p=self.weight[pool] / self.weight[pool].sum())
-        fit = some
-        for safe, gold, basic, of in ((1, 1, 1, some), (1, 1, 1, pool), (0, 1, 1, some), (0, 1, 1, pool), (0, 0, 1, some), (0, 0, 1, pool), (0, 0, 0, some)):
-            bad = (self.clashes[of] & bool(gold)) | (self.repeats[of] & bool(basic))
-            if safe:
-                bad |= self.unsafe(of)
-            fit = of[~bad]
-            if len(fit):
-                break
+        w = self.weight[pool] / max(self.weight[pool].sum(), 1e-12)
+        n = min(len(pool), self.cfg.candidates, int(np.count_nonzero(w)) or len(pool))
+        some = rng.choice(pool, n, replace=False, p=w if w.sum() > 0 else None)
+        for safe, gold, basic in ((1, 1, 1), (0, 1, 1), (0, 0, 1), (0, 0, 0)):
+            for of, scored in ((some, True), (pool, False)):
+                bad = (self.clashes[of] & bool(gold)) | (self.repeats[of] & bool(basic))
+                if safe:
+                    bad |= self.unsafe(of)
+                fit = of[~bad]
+                if len(fit):
+                    return self.best(fit, target) if scored else int(rng.choice(fit))
+        raise ValueError("nothing is left to pick")
+
+    def best(self, fit: np.ndarray, target: tuple[float, ...]) -> int:
+        """Of drawn candidates the one that brings the mix of relations nearest to the target, the first drawn on a tie."""
         if not self.batch or np.isnan(target[0]):
             return int(fit[0])
         e = self.edges + 2 * self.relations(fit)
@@ -222,14 +228,30 @@ def unsafe_siblings(batches: DataFrame, margin: float) -> DataFrame:
     return pairs.where(dot("a.seg_vec", "b.pos_vec") >= dot("a.seg_vec", "a.pos_vec") * (1 - margin)).select("batch", F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
 
 
-def batch_plan(rows: DataFrame, epochs: int, cfg: BatchConfig = BatchConfig(), shards: int = 1) -> DataFrame:
+#: Rows that one task of a batch plan holds, about.
+ROWS_OF_SHARD = 200_000
+
+
+def _sharded(rows: DataFrame, shards: int | None) -> tuple[DataFrame, int]:
+    """``rows`` with shard: documents by hash, and the rows of a document that is larger than a shard over all of them."""
+    n = rows.count()
+    shards = shards or max(1, -(-n // ROWS_OF_SHARD))
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0)), 1
+    large = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n // shards).select("doc_id", F.lit(1).alias("_large"))  # at most ``shards`` documents
+    by = F.when(F.col("_large") == 1, F.xxhash64("row_id")).otherwise(F.xxhash64("doc_id"))
+    return rows.join(F.broadcast(large), "doc_id", "left").withColumn("shard", F.pmod(by, F.lit(shards)).cast("int")).drop("_large"), shards
+
+
+def batch_plan(rows: DataFrame, epochs: int, cfg: BatchConfig = BatchConfig(), shards: int | None = None) -> DataFrame:
     """(epoch, batch, pos, row_id) from (row_id, doc_id, leaf, parent, grand, gold, weight).
 
-    Picking is sequential, so each epoch and shard (rows by a hash of their document) is one task; more shards bound a
-    task's rows, and a row's candidates are then those of its shard.
+    Picking is sequential, so each epoch and shard is one task.  Rows are sharded by their document, in as many shards as
+    keep a task's rows bounded; a row's candidates are those of its shard.
     """
     spark: SparkSession = rows.sparkSession
-    every = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int")).crossJoin(F.broadcast(spark.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch"))))
+    dealt, shards = _sharded(rows, shards)
+    every = dealt.crossJoin(F.broadcast(spark.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch"))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id").reset_index(drop=True)
@@ -241,9 +263,10 @@ def batch_plan(rows: DataFrame, epochs: int, cfg: BatchConfig = BatchConfig(), s
     return every.repartition(2 * epochs * shards, "epoch", "shard").groupBy("epoch", "shard").applyInPandas(run, "epoch int, batch int, pos int, row_id bigint")
 
 
-def unique_batches(rows: DataFrame, size: int, epoch: int = 1, seed: int = 42, shards: int = 1) -> DataFrame:
+def unique_batches(rows: DataFrame, size: int, epoch: int = 1, seed: int = 42, shards: int | None = None) -> DataFrame:
     """(batch, pos, row_id): rows in random order; one that repeats a segment, code or document of the open batch is lost."""
-    keyed = rows.withColumn("_o", F.md5(F.concat_ws("~", F.lit(str(seed + epoch)), F.col("row_id").cast("string")))).withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
+    dealt, shards = _sharded(rows, shards)
+    keyed = dealt.withColumn("_o", F.md5(F.concat_ws("~", F.lit(str(seed + epoch)), F.col("row_id").cast("string"))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, batch, seen = [], 0, (set(), set(), set())
@@ -270,4 +293,36 @@ def replayed(plan: DataFrame, epoch: int) -> DataFrame:
 
 
 def resume_window(rows: DataFrame, order: str, done: int, most: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n").between(done + 1, done + most)).drop("_n")
+    """Rows ``done`` + 1 to ``done`` + ``most`` by the unique column ``order``.
+
+    Rows are put in ranges and numbered within each; the driver sees the number of rows by range.
+    """
+    placed = stash(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    offset, at = {}, 0
+    for r in sorted(placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_p"]):
+        offset[r["_p"]], at = at, at + r["n"]
+    if not offset:
+        return placed.drop("_p")
+    wanted = [p for p, o in offset.items() if o < done + most]
+    before = F.create_map(*[x for p, o in offset.items() for x in (F.lit(p), F.lit(o))])
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(order)) + before[F.col("_p")]
+    return placed.where(F.col("_p").isin(wanted)).withColumn("_n", number).where(F.col("_n").between(done + 1, done + most)).drop("_n", "_p")
+
+
+def plain_pairs(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row_id, anchor, positive, code): a segment with the text of each of its codes (an array) that has one."""
+    rows = segments.select("row_id", F.col("segment_text").alias("anchor"), F.explode(F.array_distinct("codes")).alias("code")).where(F.length("anchor") > 0)
+    return rows.join(texts.select("code", F.col("text").alias("positive")), "code").select("row_id", "anchor", "positive", "code")
+
+
+def document_pairs(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, anchor, positive, code) from gold documents (doc_id, text, gold_codes); codes without text are left out."""
+    return plain_pairs(docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("segment_text"), F.col("gold_codes").alias("codes")), texts).withColumnRenamed("row_id", "doc_id")
+
+
+def plan_audit(plan: DataFrame, rows: DataFrame) -> DataFrame:
+    """(epoch, batches, n_rows, distinct_rows, smallest, largest, unknown): what each epoch of a plan uses."""
+    known = plan.join(rows.select("row_id", F.lit(1).alias("_k")).distinct(), "row_id", "left")
+    sizes = known.groupBy("epoch", "batch").agg(F.count(F.lit(1)).alias("n"), F.count("_k").alias("k"))
+    per = sizes.groupBy("epoch").agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("n_rows"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.sum(F.col("n") - F.col("k")).alias("unknown"))
+    return per.join(plan.groupBy("epoch").agg(F.countDistinct("row_id").alias("distinct_rows")), "epoch")

@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from lotsman.functions.text import code_list, document_text, grand_of, missing, strip
 
 
+#: Parts into which the rows of a class are hashed before the first ones are taken.
+PARTS_OF_CLASS = 32
+
+
 def shuffled(seed: int, *cols: str) -> Column:
     """A reproducible random order: a digest of the seed and the columns."""
     return F.md5(F.concat_ws("~", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -38,9 +42,13 @@ def gold_items(samples: DataFrame, fallback_prefix: str = "gisnauka_") -> DataFr
 
 
 def first_per_class(df: DataFrame, cls: str, order: str) -> DataFrame:
-    """``df`` with split: the first row of each class is test, the others train."""
-    w = Window.partitionBy(cls).orderBy(order)
-    return df.withColumn("split", F.when(F.row_number().over(w) == 1, "test").otherwise("train"))
+    """``df`` with split: the row of each class that is first by ``order`` (unique), is test, the others train.
+
+    The first is a minimum, counted map-side, so a class of any size costs a row a task.
+    """
+    first = df.groupBy(cls).agg(F.min(order).alias(order)).select(F.col(cls).alias("_c"), F.col(order).alias("_f"))
+    met = df.join(first, (F.col("_f") == F.col(order)) & F.col("_c").eqNullSafe(F.col(cls)), "left")
+    return met.withColumn("split", F.when(F.col("_f").isNotNull(), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def head_by_order(df: DataFrame, order: str, id_col: str, size: int) -> DataFrame:
@@ -78,23 +86,120 @@ def random_split(df: DataFrame, id_col: str, share: tuple[int, int], names: tupl
     return head_by_order(keyed, "_o", id_col, size).withColumn("split", F.when(F.col("chosen"), names[0]).otherwise(names[1])).drop("_o", "chosen")
 
 
+def first_of_class(df: DataFrame, cls: list[str], order: list[str], sizes: DataFrame, need: str = "need") -> DataFrame:
+    """The first ``need`` rows of each class by ``order``, where ``sizes`` (class, need) has one row a class.
+
+    Each class is cut into parts of hashed rows; a part's first rows hold the class's first rows, so only ``need`` rows a
+    part are ranked again.  No task sorts a whole class.
+    """
+    by = [F.col(c) for c in order]
+    spread = F.pmod(F.xxhash64(*order), F.lit(PARTS_OF_CLASS))
+    kept = df.join(sizes, cls).where(F.col(need) > 0).withColumn("_p", spread)
+    in_part = F.row_number().over(Window.partitionBy(*cls, "_p").orderBy(*by))
+    heads = kept.withColumn("_r", in_part).where(F.col("_r") <= F.col(need))
+    in_class = F.row_number().over(Window.partitionBy(*cls).orderBy(*by))
+    return heads.withColumn("_r", in_class).where(F.col("_r") <= F.col(need)).drop("_r", "_p", need)
+
+
 def balanced(candidates: DataFrame, top: str, code: str, id_col: str, per_top: int | None = None, seed: int = 42) -> DataFrame:
     """``per_top`` rows of each class, over as many codes as there are: one row a code first, then further rows.
 
-    Without ``per_top`` the least number of codes of a class is taken.
+    Without ``per_top`` the least number of codes of a class is taken.  The first row of a code is a minimum; the rest
+    is drawn by ``first_of_class``.
     """
     if per_top is None:
         per_top = candidates.groupBy(top).agg(F.countDistinct(code).alias("n")).agg(F.min("n")).first()[0] or 0
-    o = shuffled(seed, id_col)
-    in_code = F.row_number().over(Window.partitionBy(top, code).orderBy(o, id_col))
-    ranked = candidates.withColumn("_c", in_code).withColumn("_o", o)
-    return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(top).orderBy((F.col("_c") > 1).cast("int"), "_o", id_col))).where(F.col("_r") <= per_top).drop("_c", "_o", "_r")
+    keyed = candidates.withColumn("_o", shuffled(seed, id_col))
+    least = keyed.groupBy(top, code).agg(F.min(F.struct("_o", id_col)).alias("_m")).select(top, code, F.col("_m._o").alias("_lo"), F.col(f"_m.{id_col}").alias("_li"))
+    ranked = keyed.join(least, [top, code]).withColumn("_later", ((F.col("_o") != F.col("_lo")) | (F.col(id_col) != F.col("_li"))).cast("int"))
+    sizes = candidates.select(top).distinct().withColumn("need", F.lit(per_top))
+    return first_of_class(ranked, [top], ["_later", "_o", id_col], sizes).select(*candidates.columns)
 
 
 def quota_fill(arrivals: DataFrame, quotas: DataFrame, cls: str, order: list[str]) -> DataFrame:
     """The first ``need`` arrivals of each class; classes are filled independently."""
-    w = Window.partitionBy(cls).orderBy(*order)
-    return arrivals.join(quotas.where("need > 0"), cls).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("need")).drop("_r", "need")
+    return first_of_class(arrivals, [cls], order, quotas.select(cls, "need"))
+
+
+def unseen_hits(hits: DataFrame, seen: DataFrame, order: str) -> DataFrame:
+    """Hits whose title and abstract, case and outer blanks ignored, are not among ``seen``; of equal hits the first by
+    ``order`` counts."""
+    fresh = without_keys_of(hits, seen).withColumn("kt", F.lower(strip("title"))).withColumn("ka", F.lower(strip("abstract")))
+    first = fresh.groupBy("kt", "ka").agg(F.min(order).alias(order))
+    return fresh.join(first, ["kt", "ka", order], "left_semi").select(*hits.columns)
+
+
+def candidates(rows: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(id, segment_text, code, top): one row a leaf code of a row with a text."""
+    leaf = rows.where(missing("segment_text").isNotNull()).select(id_col, strip("segment_text").alias("segment_text"), F.explode(code_list("grnti_codes")).alias("code"))
+    return leaf.withColumn("top", grand_of("code"))
+
+
+def filter_summary(rows: DataFrame, below: int = 14, shortest: int = 60, longest_text: int = 600) -> DataFrame:
+    """(measure, key, n): rows, rows kept (documents of fewer than ``below`` rows, texts within the lengths), documents
+    kept, distinct leaf codes, and occurrences of leaf codes by section, of kept rows."""
+    named = rows.select(missing("doc_id").alias("doc_id"), strip("segment_text").alias("t"), "grnti_codes")
+    docs = named.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < below).select("doc_id")
+    kept = named.join(docs, "doc_id", "left_semi").where(F.length("t").between(shortest, longest_text))
+    codes = kept.select(F.explode(code_list("grnti_codes")).alias("code"))
+    one = lambda d, name, n: d.select(F.lit(name).alias("measure"), F.lit(None).cast("string").alias("key"), n.alias("n"))
+    count = F.count(F.lit(1)).alias("n")
+    parts = [
+        one(named.agg(count), "rows", F.col("n")), one(kept.agg(count), "kept", F.col("n")), one(docs.agg(count), "documents", F.col("n")),
+        one(codes.agg(F.countDistinct("code").alias("n")), "leaves", F.col("n")),
+        codes.groupBy(grand_of("code").alias("key")).agg(count).select(F.lit("section").alias("measure"), "key", "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def random_rows(df: DataFrame, id_col: str, size: int | None = None, share: tuple[int, int] | None = None, seed: int = 42) -> DataFrame:
+    """``size`` rows, or a share of the rows, in a reproducible random choice."""
+    n = size if size is not None else df.count() * share[0] // share[1]
+    return head_by_order(df.withColumn("_o", shuffled(seed, id_col)), "_o", id_col, n).where("chosen").select(*df.columns)
+
+
+def document_split(docs: DataFrame, id_col: str, most: int, valid: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` documents in a random choice with split: ``valid`` of them are valid, the rest train; a fifth is
+    valid where ``valid`` would leave nothing to train on."""
+    kept = random_rows(docs, id_col, most, seed=seed)
+    n = kept.count()
+    size = valid if 0 < valid < n else n // 5
+    return head_by_order(kept.withColumn("_o", shuffled(seed + 1, id_col)), "_o", id_col, size).withColumn("split", F.when(F.col("chosen"), "valid").otherwise("train")).select(*docs.columns, "split")
+
+
+def best_trials(trials: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` trials of a grid search by ``order``."""
+    return trials.orderBy(*order).limit(n)
+
+
+def grid(spark, **values: list) -> DataFrame:
+    """Every combination of the values of the parameters, which are few."""
+    out = None
+    for name, some in values.items():
+        one = spark.createDataFrame([(v,) for v in some], [name])
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
+def relevant_texts(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, doc_id, query, text, score) of the relevance pairs whose query and document both exist."""
+    q, c = queries.select("query_id", F.col("text").alias("query")), corpus.select("doc_id", "text")
+    return qrels.join(q, "query_id").join(c, "doc_id").select("query_id", "doc_id", "query", "text", "score")
+
+
+def labelled_pairs(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, doc_id, label): every query of ``qrels`` with every document, 1 where it is relevant.
+
+    The queries are a stated set against all documents; they are spread over tasks by the documents' partitions.
+    """
+    asked = queries.select("query_id").distinct().join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    rel = qrels.where("score > 0").select("query_id", "doc_id", F.lit(1.0).alias("label")).distinct()
+    lists = asked.agg(F.array_sort(F.collect_list("query_id")).alias("q"))
+    every = corpus.select("doc_id").distinct().crossJoin(F.broadcast(lists)).select(F.explode("q").alias("query_id"), "doc_id")
+    return every.join(rel, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("label", F.lit(0.0)).alias("label"))
 
 
 def code_counts(samples: DataFrame) -> DataFrame:
@@ -168,3 +273,14 @@ def negatives(queries: DataFrame, docs: DataFrame, qrels: DataFrame, per_relevan
     tries = tries.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), "query_id") + F.col("_t"), F.lit(n)))
     free = tries.join(numbered, "_n").join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return free.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("_t"))).where(F.col("_k") <= F.col("_w")).select("query_id", "doc_id")
+
+
+def prompts(segments: DataFrame, most: int = 60) -> DataFrame:
+    """(doc_id, prompt): the first ``most`` segments with a text of each document, numbered, each cut to 600 code points."""
+    from lotsman.functions.text import truncated
+
+    rows = segments.where(missing("segment_text").isNotNull()).select("doc_id", "segment_index", truncated(strip("segment_text")).alias("t"))
+    sizes = rows.select("doc_id").distinct().withColumn("need", F.lit(most))
+    first = first_of_class(rows, ["doc_id"], ["segment_index"], sizes)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "t"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x.t))
+    return first.groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("prompt"))

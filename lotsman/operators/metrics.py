@@ -47,12 +47,30 @@ def macro(per_doc: DataFrame, *keys: str) -> DataFrame:
 
 
 def evaluation(pred: DataFrame, gold: DataFrame, docs: DataFrame, ks: tuple[int, ...], levels: tuple[int, ...] = (3, 2, 1)) -> DataFrame:
-    """(level, k, recall, precision, mrr, ap) over the grid of levels and ks."""
-    out = None
-    for level in levels:
-        one = macro(per_document(*at_level(pred, gold, level), docs, ks), "k").withColumn("level", F.lit(level))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(level, k, recall, precision, mrr, ap) over the grid of levels and ks.
+
+    Codes are cut to all levels at once, and (document, level) is what is measured, so predictions are made once.
+    """
+    cut = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), to_level("code", lv).alias("cut")) for lv in levels])).alias("c")
+    at = lambda d, *more: d.select("doc_id", *more, cut).where("c.cut is not null").select(F.struct("doc_id", "c.level").alias("doc_id"), *more, F.col("c.cut").alias("code"))
+    p = at(pred, "rank").groupBy("doc_id", "code").agg(F.min("rank").alias("_r"))
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("_r"))).drop("_r")
+    every = docs.select("doc_id").distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(F.struct("doc_id", "level").alias("doc_id"))
+    per = per_document(p, at(gold).distinct(), every, ks)
+    return macro(per.withColumn("level", F.col("doc_id.level")), "level", "k")
+
+
+def document_report(pred: DataFrame, gold: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """One row: recall, precision and mrr at k, recall and precision at the size of the gold set, ``n`` documents
+    measured and ``skipped``; documents (doc_id, text) without gold or text are skipped.  Means over nothing are 0."""
+    has_gold = gold.select("doc_id").distinct().withColumn("_g", F.lit(1))
+    usable = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(has_gold, "doc_id", "left").withColumn("ok", (F.col("_g") == 1) & (F.coalesce("text", F.lit("")) != ""))
+    used = usable.where("ok").select("doc_id")
+    keep = lambda d: d.join(used, "doc_id", "left_semi")
+    at_k = macro(per_document(keep(pred), keep(gold), used, (k,))).select("recall", "precision", "mrr")
+    at_m = macro(per_document(keep(pred), keep(gold), used, None)).select(F.col("recall").alias("recall_m"), F.col("precision").alias("precision_m"))
+    counts = usable.agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("n"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("skipped"))
+    return at_k.crossJoin(F.broadcast(at_m)).crossJoin(F.broadcast(counts))
 
 
 def report_stats(docs: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:

@@ -9,6 +9,18 @@ from lotsman.functions.text import is_leaf, label_code, label_title, missing, st
 from lotsman.session import stash
 
 
+def id_maps(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, code) and (code, id): of several nodes with a code the last one counts."""
+    pairs = code_map(nodes.select("node_ord", "id", "code")).join(nodes.select("id", "node_ord"), "id")
+    return code_map(nodes), pairs.groupBy("code").agg(F.max_by("id", "node_ord").alias("id"))
+
+
+def with_descriptions(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with the long descriptions that ``known`` (id, llm_description) has for them; others keep their own."""
+    have = known.where(missing("llm_description").isNotNull()).groupBy("id").agg(F.min("llm_description").alias("_known"))
+    return nodes.join(have, "id", "left").withColumn("llm_description", F.coalesce("_known", "llm_description")).drop("_known").select(*nodes.columns)
+
+
 def code_map(nodes: DataFrame) -> DataFrame:
     """(id, code) of nodes that have both."""
     return nodes.where(nodes.id.isNotNull() & missing("code").isNotNull()).select("id", strip("code").alias("code"))
@@ -61,21 +73,21 @@ def leaves(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(links.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
 
 
-def descendants(links: DataFrame, root: DataFrame, depth: int = 64) -> DataFrame:
+def descendants(links: DataFrame, root: DataFrame) -> DataFrame:
     """(root, id): everything reached from each root, itself included; cycles end, as no node is visited twice.
 
-    A breadth-first search; the frontier is written to the shared folder every few steps, so plans stay short.
+    A breadth-first search to the last frontier, however deep.  Each frontier is written once to the shared folder and
+    what was seen is the union of these tables, so nothing is written twice and plans stay short.
     """
-    edges = links.select("source", "target").distinct()
-    seen = stash(root.select("root", F.col("root").alias("id")).distinct(), "seen")
-    frontier = seen
-    for _ in range(depth):
-        new = frontier.join(edges, F.col("id") == F.col("source")).select("root", F.col("target").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        frontier = stash(new, "frontier")
+    edges = links.select("source", "target").where("source is not null and target is not null").distinct()
+    frontier = stash(root.select("root", F.col("root").alias("id")).distinct(), "frontier")
+    seen = frontier
+    while True:
+        new = frontier.join(edges, F.col("id") == F.col("source")).select("root", F.col("target").alias("id")).distinct()
+        frontier = stash(new.join(seen, ["root", "id"], "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
-        seen = stash(seen.unionByName(frontier), "seen")
-    return seen
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 def full_labels(nodes: DataFrame, parents: DataFrame, root: str | None = None) -> DataFrame:

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotsman.functions.text import uninformative
-from lotsman.session import small_batches
+from lotsman.session import small_batches, stash
 
 #: List signs; Latin o counts as one before a blank.
-SIGN = "[•‣◦▪●·–o-]"
+SIGN = "[•‣◦▪●·o-]"
+#: Numbers of list items.
 NUMBER = re.compile(r"(?<!\S)(?:\d+(?:\.\d+)*[.)]|\d+(?:\.\d+)+)\s+")
 FEW_NUMBERS = re.compile(r"(?:^|\s)\d+[.)]\s")
 LINE_SIGN = re.compile(rf"^[ \t]*{SIGN}[ \t]+", re.M)
 INNER_SIGN = re.compile(rf"(?<=[,;:])\s+{SIGN}\s+")
-LEADING = re.compile(rf"^\s*(?:[•‣◦▪●·]\s*|[–o-]\s+)")
+LEADING = re.compile(r"^\s*[•‣◦▪●o·-]\s+")
+#: A line of a list, for telling tables.
+SHORT_NUMBER = re.compile(r"\d+[.)]\s+")
+LISTED = re.compile(r"[-•\do·]+[.)]?\s+")
 PAIRS = (("«", "»"), ("„", "“"), ("“", "”"))
 ABBREVIATION = re.compile(r"(?:\b(?:т|г|гг|в|вв|стр|рис|табл|им|ул|д|с|п|пп|см|др|пр|etc|e\.g|i\.e|Mr|Dr)|\b[А-ЯЁA-Z])\.$|^\d+(?:\.\d+)*\.$")
 END = re.compile(r"[.!?…]+[»”\")]*\s+(?=[«„“\"(]*[A-ZА-ЯЁ\d])")
@@ -78,9 +82,7 @@ def is_table(block: str) -> bool:
     lines = [x.strip() for x in block.splitlines() if x.strip()]
     if len(lines) < 2:
         return False
-    listed = sum(bool(re.match(rf"(?:\d+[.)]|{SIGN})\s", x)) for x in lines)
-    divided = sum(x.count(";") + x.count("|") + x.count("\t") >= 2 for x in lines)
-    return max(listed, divided) * 2 >= len(lines)
+    return sum(bool(LISTED.match(x)) or x.count(";") + x.count("|") + x.count("\t") >= 2 for x in lines) * 2 >= len(lines)
 
 
 def table_chunks(block: str, size: int = 400) -> list[str]:
@@ -95,38 +97,65 @@ def table_chunks(block: str, size: int = 400) -> list[str]:
 
 
 def chunk(text: str, size: int, compat: bool) -> list[str]:
-    """A list item or a piece between items: table lines in chunks after leading prose, else sentences."""
-    lines = text.splitlines()
+    """A list item or a piece between items: several numbered items one by one, table lines in chunks after leading
+    prose, else sentences."""
+    marks = [m.start() for m in NUMBER.finditer(text)]
+    if len(marks) > 1:
+        return [squeeze(text[a:b]) for a, b in zip(marks, [*marks[1:], len(text)])]
     if is_table(text):
-        first = next((i for i, x in enumerate(lines) if x.count("|") or sum(map(x.count, ";\t")) >= 2 or re.search(r"\S {2,}\S", x)), 0)
-        return (prose("\n".join(lines[:first]), compat) if first else []) + table_chunks("\n".join(lines[first:]), size)
+        lines = text.splitlines()
+        first = next((i for i, x in enumerate(lines) if is_table_line(x)), len(lines))
+        head, rest = "\n".join(lines[:first]), "\n".join(lines[first:])
+        return (prose(head, compat) if head.strip() else []) + table_chunks(rest if rest.strip() else text, size)
     return prose(text, compat)
 
 
+def is_table_line(line: str) -> bool:
+    x = line.strip()
+    return "|" in x or x.count(";") + x.count("\t") >= 2 or re.search(r"\s{2,}\S+\s{2,}", x) is not None
+
+
 def cut_at(block: str, starts: list[int]) -> list[str]:
     at = sorted({0, *starts, len(block)})
     return [p for a, b in zip(at, at[1:]) if (p := block[a:b].strip())]
 
 
 def numbered(block: str, size: int, compat: bool) -> list[str]:
+    """Items begin at every number; an item whose second line is plain goes on to its end as one segment."""
     out: list[str] = []
     for item in cut_at(block, [m.start() for m in NUMBER.finditer(block)]):
-        rest = item.splitlines()[1:]
-        starts = NUMBER.match(item)
-        if starts and rest and not any(NUMBER.match(x.strip()) or LINE_SIGN.match(x) for x in rest):
-            out.append(squeeze(item))  # a continued item stays whole
-        elif starts:
-            mark, body = item[: starts.end()].strip(), item[starts.end() :]
-            parts = chunk(body, size, compat)
-            out += [f"{mark} {parts[0]}", *parts[1:]] if parts else [mark]
+        lines = item.splitlines()
+        second = lines[1].strip() if len(lines) > 1 else ""
+        if not NUMBER.match(item):
+            out += prose(item, compat)
+        elif second and not SHORT_NUMBER.match(second) and not LEADING.match(second):
+            out.append(squeeze(item))
         else:
             out += chunk(item, size, compat)
     return out
 
 
 def bulleted(block: str, size: int, compat: bool) -> list[str]:
+    """Items begin at signs on a line's beginning or after a comma, semicolon or colon.  Of an item of several lines the
+    first is taken by itself; with ``compat``, one whose second line begins a list is then read whole once more."""
     starts = [m.start() for m in LINE_SIGN.finditer(block)] + [m.end() - len(m.group().lstrip()) for m in INNER_SIGN.finditer(block)]
-    return [s for item in cut_at(block, starts) for s in chunk(LEADING.sub("", item), size, compat)]
+    out: list[str] = []
+    for k, item in enumerate(cut_at(block, starts)):
+        if k == 0 and not LEADING.match(item):
+            out += prose(item, compat)
+            continue
+        item = LEADING.sub("", item).lstrip(" \t\n,;:")
+        first, _, rest = item.partition("\n")
+        if not rest.strip():
+            out += chunk(item, size, compat)
+            continue
+        out += chunk(first, size, compat)
+        second = rest.split("\n", 1)[0].strip()
+        if not (LEADING.match(second) or SHORT_NUMBER.match(second)):
+            out += prose(rest, compat)
+        else:
+            out += chunk(item if compat else rest, size, compat)
+    return out
 
 
 def segment(text: str | None, size: int = 400, compat: bool = False) -> list[str]:
@@ -152,8 +181,33 @@ def segment(text: str | None, size: int = 400, compat: bool = False) -> list[str
     return [LEADING.sub("", squeeze(s)) for s in out if s.strip()]
 
 
-def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 400, compat: bool = False) -> DataFrame:
-    """(id, segment_index from 0, segment_text), row by row, without a shuffle."""
+def merge_numbers(sentences: list[str]) -> list[str]:
+    """Sentences that are a bare number go with what follows them."""
+    out: list[str] = []
+    held = ""
+    for x in sentences:
+        if re.fullmatch(r"\d+[.)]?", x):
+            held = f"{held} {x}".strip()
+        else:
+            out.append(f"{held} {x}".strip())
+            held = ""
+    return out + ([held] if held else [])
+
+
+def segment_plain(text: str | None, size: int = 300) -> list[str]:
+    """The plainer segmenter: blocks are tables or prose, in which words are joined over line ends first."""
+    out: list[str] = []
+    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", text or ""))):
+        if is_table(block):
+            out += table_chunks(block.replace("\xa0", " "), size)
+        else:
+            joined = re.sub(r"(\S)-\s*\n\s*(\S)", r"\1\2", block).replace("\xa0", " ")
+            out += merge_numbers(raw_sentences(squeeze(joined)))
+    return [x for x in out if x]
+
+
+def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 400, compat: bool = False, plain: bool = False) -> DataFrame:
+    """(id, segment_index from 0, segment_text), row by row, without a shuffle; ``plain`` takes the plainer segmenter."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -161,7 +215,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
         for batch in batches:
             row, index, parts = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                found = segment(t, size, compat)
+                found = segment_plain(t, size) if plain else segment(t, size, compat)
                 row += [i] * len(found)
                 index += range(len(found))
                 parts += found
@@ -170,7 +224,20 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     return docs.where(F.col(text).isNotNull()).select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, segment_index int, segment_text string")
 
 
+#: Segment indexes of a range in which rows are numbered by one task.
+RANGE = 4096
+
+
 def informative(segs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Informative segments, numbered anew in each document."""
-    kept = segs.where(~uninformative("segment_text"))
-    return kept.withColumn("segment_index", F.row_number().over(Window.partitionBy(id_col).orderBy("segment_index")) - 1)
+    """Informative segments, numbered anew in each document.
+
+    A document is numbered by ranges of its indexes, each from the number of rows in the ranges before it, so a hot
+    document is no single task's.
+    """
+    kept = stash(segs.where(~uninformative("segment_text")).withColumn("_b", F.floor(F.col("segment_index") / RANGE)), "kept")
+    n = kept.groupBy(id_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(id_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select(F.col(id_col).alias("_d"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = kept.join(before, F.col("_d").eqNullSafe(F.col(id_col)) & (F.col("_c") == F.col("_b")))
+    number = F.row_number().over(Window.partitionBy(id_col, "_b").orderBy("segment_index")) - 1 + F.col("_before")
+    return placed.withColumn("segment_index", number.cast("int")).select(*segs.columns)

@@ -108,7 +108,7 @@ def doc_topk_codes(spark, d):
 
 @query(PAIRS + ", b AS (SELECT doc_id, comp_id, max(score) AS score FROM p GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, comp_id) AS rank FROM b) SELECT doc_id, comp_id, rank::INTEGER AS rank, round(score, 6) AS score FROM t WHERE rank <= 20")
 def maxpool_topk_codes(spark, d):
-    return an.max_pooled(an.pair_scores(segs(spark, d), comps(spark, d)), N).select("doc_id", "comp_id", "rank", r6("score").alias("score"))
+    return an.pooled(segs(spark, d), comps(spark, d), N).select("doc_id", "comp_id", "rank", r6("score").alias("score"))
 
 
 _RAW = "(((segment_index * 31 + comp_id * 17) % 101) / 100.0 * {} - {})"
@@ -314,16 +314,9 @@ def doc_segment_cap(spark, d):
     return ds.capped_documents(table(spark, d, SEGMENTS)).select("row_id", "doc_id")
 
 
-@query(f"""WITH o AS (SELECT row_id, segment_text AS t, lag(segment_text) OVER w AS p, lead(segment_text) OVER w AS n FROM (SELECT row_id, doc_id, segment_text FROM {SEGMENTS} WHERE doc_id IN (SELECT doc_id FROM {SEGMENTS} GROUP BY doc_id HAVING count(*) < 14)) WINDOW w AS (PARTITION BY doc_id ORDER BY row_id))
-SELECT row_id, CASE WHEN length(t) > 100 THEN t ELSE concat_ws('  ', CASE WHEN length(p) > 200 THEN left(p, 200) || '...' ELSE p END, t, t, CASE WHEN length(n) > 200 THEN left(n, 200) || '...' ELSE n END) END AS context_text FROM o""")
-def context_window(spark, d):
-    rows = ds.capped_documents(table(spark, d, SEGMENTS)).select("row_id", "doc_id", F.col("row_id").alias("segment_index"), "segment_text")
-    return an.with_context(rows, 100).select("row_id", "context_text")
-
-
 @query(f"""WITH o AS (SELECT row_id, segment_text AS t, lag(segment_text) OVER w AS p, lead(segment_text) OVER w AS n FROM (SELECT row_id, segment_text, CASE WHEN regexp_full_match(coalesce(doc_id, ''), '[\\s\\x{{00A0}}]*') THEN 'row ' || row_id ELSE doc_id END AS d FROM {SEGMENTS}) WINDOW w AS (PARTITION BY d ORDER BY row_id))
 SELECT row_id, CASE WHEN length(t) > 100 THEN t ELSE concat_ws('  ', CASE WHEN length(p) > 200 THEN left(p, 200) || '...' ELSE p END, t, t, CASE WHEN length(n) > 200 THEN left(n, 200) || '...' ELSE n END) END AS context_text FROM o""")
-def context_window_whole(spark, d):
+def context_window(spark, d):
     """All segments; a row without doc_id has no neighbours."""
     doc = F.when(tx.missing("doc_id").isNull(), F.concat(F.lit("row "), F.col("row_id"))).otherwise(F.col("doc_id"))
     rows = table(spark, d, SEGMENTS).select("row_id", doc.alias("doc_id"), F.col("row_id").alias("segment_index"), "segment_text")
@@ -522,9 +515,8 @@ def unique_batches(spark, d):
 
 # ---- repair of JSON lines ---------------------------------------------------------------------------------------
 
-@query("SELECT event_id, props AS repaired FROM events")
+@query("""SELECT event_id, '{"id":' || event_id || ',"codes":["1.2.3"],"evidence":{"kind":"' || event_type || '"}}' AS repaired FROM events""")
 def json_repair(spark, d):
-    broken = F.concat(F.regexp_replace("props", r"\}$", ",}"), F.lit(" ,"))
-    return table(spark, d, "events").select("event_id", tx.repaired_json(broken).alias("repaired"))
-
-
+    """Each line has a comma in a key's quotes, one before a bracket and one at its end."""
+    broken = F.format_string('{"id":%d,"codes":["1.2.3", ],",evidence": {"kind":"%s",},}, ', "event_id", "event_type")
+    return table(spark, d, "events").select("event_id", F.replace(tx.repaired_json(broken), F.lit('"evidence": '), F.lit('"evidence":')).alias("repaired"))

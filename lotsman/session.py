@@ -15,12 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder serves a local session, as in tests; on a cluster it is an error, as executors
+    would write to disks of their own.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lotsman-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared

@@ -163,7 +163,7 @@ def test_context_window_has_every_segment(spark):
     if not os.path.exists(d):
         pytest.skip("no test tables")
     rows = spark.read.parquet(f"{d}/gisnauka_segments_train_augmented.parquet").select("row_id", "doc_id", "segment_text")
-    got = {r.row_id: r.context_text for r in QUERIES["context_window_whole"](spark, d).collect()}
+    got = {r.row_id: r.context_text for r in QUERIES["context_window"](spark, d).collect()}
     all_rows = {r.row_id: r for r in rows.collect()}
     assert set(got) == set(all_rows)
     hot = sorted(i for i, r in all_rows.items() if r.doc_id == "gisnauka_0")
