@@ -195,13 +195,14 @@ def learn(df: DataFrame, col: str, iterations: int = 3) -> Weights:
     return w
 
 
-def split_values(df: DataFrame, id_col: str = "row_id", col: str = "grnti_codes") -> DataFrame:
+def split_values(df: DataFrame, id_col: str = "row_id", col: str = "grnti_codes", weights: Weights | None = None) -> DataFrame:
     """(id, pos, code_value), one row per value, positions from 1.
 
     Null, empty and blank fields, and fields without a value, give no rows; repeated values and repeated rows are
-    kept; an empty quoted span is no value.  Row by row without a shuffle, apart from the learning of frequencies.
+    kept; an empty quoted span is no value.  Row by row without a shuffle, apart from the learning of frequencies
+    where no ``weights`` are given.
     """
-    shared = df.sparkSession.sparkContext.broadcast(learn(df, col))
+    shared = df.sparkSession.sparkContext.broadcast(weights or learn(df, col))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
