@@ -53,7 +53,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of the pieces: each at most ``limit`` code points, each but the first starting up to ``overlap`` before
     the end of the one before it; together they cover the whole text."""
     parts = atoms(text, 0, len(text), limit)
-    # The weaker of two neighbouring cuts is avoided where packing lets it: atoms of a broken unit are packed like others.
+    # Atoms are packed in order, whichever unit they end, so a piece can end within a paragraph that did not fit whole.
     out: list[tuple[int, int]] = []
     start, end = parts[0]
     for a, b in parts[1:]:

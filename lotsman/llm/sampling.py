@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lotsman.operators.packed import split_values
+from lotsman.operators.packed import learn, split_values
 from lotsman.session import stash
 
 #: Equal parts of [0, 1) by which accepted rows are counted for the exact correction.
@@ -23,10 +23,11 @@ def _missing(c: Column) -> Column:
 def with_category(df: DataFrame, id_col: str = "row_id") -> DataFrame:
     """(id, category): two characters of the stripped top_code, else of the smallest packed value, else null.
 
-    One row a row of ``df``; equal rows stay apart.  Only rows without top_code are split into values.
+    One row a row of ``df``; equal rows stay apart.  Frequencies are learnt from the whole column; only rows without
+    top_code are split into values.
     """
     top = df.select(id_col, _missing(F.col("top_code")).alias("_t"), "grnti_codes")
-    smallest = split_values(top.where("_t is null"), id_col, "grnti_codes").groupBy(id_col).agg(F.min("code_value").alias("_v"))
+    smallest = split_values(top.where("_t is null"), id_col, "grnti_codes", learn(df, "grnti_codes")).groupBy(id_col).agg(F.min("code_value").alias("_v"))
     told = top.where("_t is not null").select(id_col, F.substring("_t", 1, 2).alias("category"))
     rest = top.where("_t is null").select(id_col).join(smallest, id_col, "left").select(id_col, F.substring("_v", 1, 2).alias("category"))
     return told.unionByName(rest)
@@ -90,17 +91,38 @@ def _within_targets(cat: DataFrame, names: list[str]) -> DataFrame:
     return cat.withColumn("category", F.when(F.col("category").isin(names), F.col("category")))
 
 
-def deficits(df: DataFrame, targets: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(top_code, n_rows, wanted, min_rows): target categories whose rows are fewer than the minimum or than their share."""
-    cat = with_category(df, id_col)
-    n = cat.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = n.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("_rows")).select(F.floor(F.col("_rows") * 3 / 10).alias("_size"))
-    joined = targets.join(n, F.col("category") == F.col("top_code"), "left").crossJoin(F.broadcast(total)).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-    lacking = joined.where((F.col("n_rows") < F.col("min_rows")) | (F.col("n_rows") * 1000 < F.col("target_permille") * F.col("_size")))
-    return lacking.select("top_code", "n_rows", F.greatest(F.col("min_rows").cast("bigint"), F.ceil(F.col("target_permille") * F.col("_size") / 1000)).alias("wanted"), "min_rows")
+class Plan:
+    """What a draw starts from: rows with category and a number in [0, 1), counts, targets and quotas by category."""
 
+    def __init__(self, df: DataFrame, targets: DataFrame, id_col: str, seed: int):
+        self.goal = _targets(targets)
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(2**53))
+        self.rows = stash(_within_targets(with_category(df, id_col), [c for c, _, _ in self.goal]).withColumn("_u", u), "categories")
+        self.have, self.n = _counts(self.rows)
+        self.size = sample_size(self.n)
+        self.quota = quotas({c: n for c, n in self.have.items() if c is not None}, self.goal, self.size, self.have.get(None, 0))
 
-def draw(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int = 42) -> DataFrame:
+    def report(self) -> list[tuple[str, int, int, int, int, int, int]]:
+        """(top_code, target_permille, min_rows, n_rows, wanted, quota, deficit) of each target, from which the draw
+        takes its quotas; ``wanted`` is the larger of minimum and share, the deficit what the rows there lack of it."""
+        out = []
+        for c, p, low in self.goal:
+            n, wanted = self.have.get(c, 0), max(low, -(-p * self.size // 1000))
+            out.append((c, p, low, n, wanted, self.quota.get(c, 0), max(0, wanted - n)))
+        return out
+
+
+REPORT = "top_code string, target_permille int, min_rows int, n_rows bigint, wanted bigint, quota bigint, deficit bigint"
+
+
+def deficits(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int = 42) -> DataFrame:
+    """(top_code, n_rows, wanted, min_rows, quota, deficit): targets whose rows are fewer than the minimum or the share,
+    as the plan of the draw reports them."""
+    short = [r for r in Plan(df, targets, id_col, seed).report() if r[-1] > 0]
+    return df.sparkSession.createDataFrame(short, REPORT).select("top_code", "n_rows", "wanted", "min_rows", "quota", "deficit")
+
+
+def draw(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int = 42, plan: Plan | None = None) -> DataFrame:
     """(id, category) of the sampled rows: floor(3 * rows / 10) of them, fewer only if there are fewer rows.
 
     Each row has a number in [0, 1) from its id and the seed.  It is accepted below its category's probability, the
@@ -110,12 +132,8 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int =
     (targets + 1) * 4096.  Rows without a target category are drawn only when targets cannot fill the size.
     """
     spark = df.sparkSession
-    goal = _targets(targets)
-    names = [c for c, _, _ in goal]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(2**53))
-    cat = stash(_within_targets(with_category(df, id_col), names).withColumn("_u", u), "categories")
-    have, rows = _counts(cat)
-    quota = quotas({c: n for c, n in have.items() if c is not None}, goal, sample_size(rows), have.get(None, 0))
+    plan = plan or Plan(df, targets, id_col, seed)
+    cat, have, quota = plan.rows, plan.have, plan.quota
     chance = {c: min(1.0, (1 + OVERSAMPLING) * q / have[c]) for c, q in quota.items() if q > 0}
     schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_p", T.DoubleType())])
     key = F.coalesce("category", F.lit("\x00"))
@@ -147,10 +165,12 @@ def draw(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int =
     return sure.unionByName(last.select(id_col, "category"))
 
 
-def draw_report(df: DataFrame, targets: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(top_code, target_permille, min_rows, drawn, sample_permille) for each target category."""
-    s = draw(df, targets, id_col).groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
+def draw_report(df: DataFrame, targets: DataFrame, id_col: str = "row_id", seed: int = 42) -> DataFrame:
+    """(top_code, target_permille, min_rows, n_rows, deficit, drawn, sample_permille) for each target category."""
+    plan = Plan(df, targets, id_col, seed)
+    s = draw(df, targets, id_col, seed, plan).groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
     total = s.agg(F.greatest(F.coalesce(F.sum("drawn"), F.lit(0)), F.lit(1)).alias("_total"))
-    return targets.join(s, F.col("category") == F.col("top_code"), "left").crossJoin(F.broadcast(total)).select(
-        "top_code", "target_permille", "min_rows", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.floor(F.coalesce("drawn", F.lit(0)) * 1000 / F.col("_total")).alias("sample_permille")
+    told = df.sparkSession.createDataFrame(plan.report(), REPORT)
+    return told.join(s, F.col("category") == F.col("top_code"), "left").crossJoin(F.broadcast(total)).select(
+        "top_code", "target_permille", "min_rows", "n_rows", "deficit", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.floor(F.coalesce("drawn", F.lit(0)) * 1000 / F.col("_total")).alias("sample_permille")
     )
