@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotsman.session import small_batches
 
 #: Separators from strong to weak; a cut is at the end of a match.
 SECTION = re.compile(r"\n(?=[ \t]*(?:РАЗДЕЛ|Раздел|SECTION|Section|#{1,6} |\d+(?:\.\d+)*\.? +[A-ZА-ЯЁ]))")
@@ -78,7 +77,6 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int, overl
     Texts within the limit, null and empty ones need no cut and give no rows.  Repeated rows are cut each for
     itself.  Works row by row without a shuffle; only oversized texts leave the JVM.
     """
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotsman.session import salt, small_batches, stash
+from lotsman.session import salt, stash
 
 #: Names of the ways in which an unfilled place is written, with their patterns.
 SLOTS = {
@@ -204,7 +204,6 @@ def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page
     record aligns, "frame" and "odd" are spans to align.  "page" is a text that holds an identifier, as digest of the
     text with digits and identifiers masked beside the digest of the text; "error" is an error page, masked, listed
     where ``pages``."""
-    small_batches(df.sparkSession)
     id_kind = df.schema[id_col].dataType.simpleString()
     names = ["kind", "narrow", "wide", "residue"]
 

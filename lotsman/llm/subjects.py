@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotsman.session import small_batches, stash
+from lotsman.session import stash
 
 SLOTS = 1 << 18  # numbers that terms are hashed to: bounds all that is broadcast or gathered
 LEAST_SENTENCES = 3  # of a term
@@ -37,6 +37,7 @@ EVEN = 1  # sentences, spread evenly over the areas, that are added to those of
 CENTROIDS = 2  # of an area
 ROUNDS = 5  # in which terms are dealt to an area's centroids
 BLOCKS = 16  # into which a gathered table is cut
+TERMS = 200_000  # whose vectors a task makes at once
 FAN = 64  # tables added up by one task
 
 SENTENCE = re.compile(r"(?<=[.!?;…])\s+(?=[A-ZА-ЯЁ\d«(•–—*-])|[\r\n]+")
@@ -88,6 +89,20 @@ class Sentences:
         self.sentence = np.repeat(np.arange(len(self.owner)), np.diff(inner.offsets.to_numpy()))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about TERMS terms, as vectors of all terms are made at once."""
+    docs = batch.column(3).fill_null([]) if batch.column(3).null_count else batch.column(3)
+    if not len(docs):
+        return
+    of_doc, of_sentence = docs.offsets.to_numpy(), docs.flatten().offsets.to_numpy()
+    at = of_sentence[of_doc - of_doc[0]] - of_sentence[0]  # terms before each document
+    start = 0
+    while start < len(docs):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + TERMS, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _sum_rows(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` by ``by``, which rises."""
     out = np.zeros((n, values.shape[1]), values.dtype)
@@ -108,7 +123,8 @@ def _gathered(docs: DataFrame, partial: Callable[[pa.RecordBatch, np.ndarray], N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            partial(batch, total)
+            for some in _slices(batch):
+                partial(some, total)
         for b in range(BLOCKS):
             part = total[b * step : (b + 1) * step]
             rows = np.flatnonzero(part.any(1)).astype(np.int32)
@@ -293,7 +309,6 @@ def assign_areas(texts: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
     rows.  All texts are counted, decomposed and assigned; what is broadcast or gathered is bounded by SLOTS.
     """
     spark = texts.sparkSession
-    small_batches(spark, 2000)
     names = [(r["area"], r["area_label"] or "") for r in areas.where("area is not null").orderBy("area").collect()]
     empty = texts.select("table_name", "row_id", F.lit("").alias("area")).where("false")
     if len(names) < 2:
@@ -324,7 +339,7 @@ def assign_areas(texts: DataFrame, areas: DataFrame, labels: DataFrame) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, area_names = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b)):
             row, area = np.nonzero(m.document_areas(Sentences(batch.column(3)))[0] >= SENTENCES)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([area_names[a] for a in area], pa.string())], names=["table_name", "row_id", "area"])

@@ -152,10 +152,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     The text is taken as stored.  Null and empty texts get an empty list, blank ones the ids of their blanks.
     Repeated rows give repeated results; other columns are not read.  No shuffle.
     """
-    from lotsman.session import small_batches
-
     spark = df.sparkSession
-    small_batches(spark)
     shared = _vocabulary(spark, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +170,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, n_tokens BIGINT) of each text; 0 for null and empty texts.  No shuffle."""
-    from lotsman.session import small_batches
-
     spark = df.sparkSession
-    small_batches(spark)
     shared = _vocabulary(spark, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
