@@ -45,13 +45,6 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as one text can be megabytes long."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def salt(by: Column | str, salts: int) -> Column:
     """A salt in ``[0, salts)`` that depends only on ``by``, so a repeated task gives the same rows."""
     return F.pmod(F.xxhash64(F.lit(77), by), F.lit(salts)).cast("int")
