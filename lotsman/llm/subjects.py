@@ -26,11 +26,12 @@ from lotsman.session import stash
 SLOTS = 1 << 18  # numbers that terms are hashed to: bounds all that is broadcast or gathered
 LEAST_SENTENCES = 3  # of a term
 RANK = 128
-POWER_STEPS = (3, 2)  # passes of the first decomposition, and of the second, which starts from the first
+POWER_STEPS = (2, 1)  # passes of the first decomposition, and of the second, which starts from the first
 REFINEMENTS = 2
 PURITY = 0.25  # below it a term has no weight
 SCORE = 0.3  # least cosine of a sentence to its area
 STRONGEST = 0.4  # least weight of a sentence's strongest term
+CONTEXT = 0.35  # weight of the document's cosine beside a sentence's
 PRIOR = 5  # sentences at which a term's pull on the centroids is half of what it can be
 SENTENCES = 2  # of an area in a document
 EVEN = 1  # sentences, spread evenly over the areas, that are added to those of each term
@@ -254,17 +255,19 @@ class Model:
         self.vectors = self.weight[:, None] * vectors[active].astype(np.float32)
 
     def sentence_areas(self, s: Sentences) -> np.ndarray:
-        """The area of each sentence, or -1."""
+        """The area of each sentence, or -1.  Where a sentence is near to several, its document's vector tips the scale."""
         t = self.number[s.ids]
         sentence, t = s.sentence[t >= 0], t[t >= 0]
         out = np.full(len(s.owner), -1)
         at, first = np.unique(sentence, return_index=True)
         if len(at):
-            x = np.add.reduceat(self.vectors[t], first, axis=0)
-            score = x @ self.centroids.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            score = np.maximum.reduceat(score, self.first, axis=1)
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            x = unit(np.add.reduceat(self.vectors[t], first, axis=0))
+            near = lambda m: np.maximum.reduceat(m @ self.centroids.T, self.first, axis=1)
+            score = near(x)
             ok = (score.max(1) >= SCORE) & (np.maximum.reduceat(self.weight[t], first) >= STRONGEST)
-            out[at] = np.where(ok, score.argmax(1), -1)
+            whole = near(unit(_sum_rows(x, s.owner[at], s.n)))[s.owner[at]]
+            out[at] = np.where(ok, (score + CONTEXT * whole).argmax(1), -1)
         return out
 
     def document_areas(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
