@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
+
+from lotsman.operators.datasets import first_of_class
 
 
 def fill_from_stream(arrivals: DataFrame, need: DataFrame, cls: str, order: list[str], out: str, checkpoint: str) -> StreamingQuery:
     """Writes the first ``need`` arrivals of each class to ``out``, one folder a micro-batch.
 
-    ``need`` (class, need) is a small table of quotas.  What earlier batches took is counted from ``out``, by batch
-    number, so a batch that is repeated after a failure overwrites its folder and counts nothing twice.
+    ``need`` (class, need) is a table of quotas, one row a class.  After each batch the totals taken so far are written
+    beside it, one row a class, in a folder that readers of ``out`` skip; the next batch starts from them, so a batch
+    costs what it holds and the totals, however many went before.  A batch that is repeated after a failure overwrites
+    its folder and its totals and counts nothing twice.
     """
     schema = arrivals.schema
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        past = [f"{out}/batch={i}" for i in range(number)]
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        past = [p for p in past if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
-        left = need
-        if past:
-            taken = spark.read.schema(schema).parquet(*past).groupBy(cls).agg(F.count(F.lit(1)).alias("_t"))
-            left = need.join(taken, cls, "left").select(cls, (F.col("need") - F.coalesce("_t", F.lit(0))).alias("need"))
-        w = Window.partitionBy(cls).orderBy(*order)
-        batch.join(left.where("need > 0"), cls).withColumn("_r", F.row_number().over(w)).where("_r <= need").select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        totals = lambda i: f"{out}/_totals/batch={i}"
+        left = need.select(cls, "need")
+        before = None
+        if number > 0:
+            before = spark.read.parquet(totals(number - 1))
+            left = left.join(before, cls, "left").select(cls, (F.col("need") - F.coalesce("taken", F.lit(0))).alias("need"))
+        first_of_class(batch, [cls], order, left).select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        now = spark.read.schema(schema).parquet(f"{out}/batch={number}").groupBy(cls).agg(F.count(F.lit(1)).alias("taken"))
+        both = now if before is None else before.unionByName(now).groupBy(cls).agg(F.sum("taken").alias("taken"))
+        both.write.mode("overwrite").parquet(totals(number))
 
     return arrivals.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()

@@ -11,6 +11,8 @@ def test_stream_fills_the_same_quotas(spark, tmp_path):
     q = fill_from_stream(stream, need, "cls", ["id"], str(tmp_path / "out"), str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
+    totals = {r.cls: r.taken for r in spark.read.parquet(str(tmp_path / "out" / "_totals" / "batch=2")).collect()}
+    assert totals == {"a": 25, "b": 7}
     got = sorted((r.id, r.cls) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     counts = {c: sum(x[1] == c for x in got) for c in "abc"}
     assert counts == {"a": 25, "b": 7, "c": 0} and len({x[0] for x in got}) == 32
