@@ -158,23 +158,31 @@ def bulleted(block: str, size: int, compat: bool) -> list[str]:
     return out
 
 
+def kind_of(block: str) -> str:
+    """How a block is read: "mixed", "numbered", "bulleted", "table" or "prose", the first that fits."""
+    many = len(FEW_NUMBERS.findall(block)) >= 2
+    signs = len(LINE_SIGN.findall(block)) >= 2
+    return "mixed" if many and signs else "numbered" if many else "bulleted" if signs else "table" if is_table(block) else "prose"
+
+
+def blocks_of(text: str | None) -> list[str]:
+    """Blocks between blank lines, stripped, without empty ones."""
+    return [b for x in re.split(r"\n\s*\n", (text or "").replace("\r\n", "\n").replace("\r", "\n")) if (b := x.strip())]
+
+
 def segment(text: str | None, size: int = 400, compat: bool = False) -> list[str]:
     """Segments of a text in order; null and blank texts have none."""
     out: list[str] = []
-    for block in re.split(r"\n\s*\n", (text or "").replace("\r\n", "\n").replace("\r", "\n")):
-        block = block.strip()
-        if not block:
-            continue
-        many = len(FEW_NUMBERS.findall(block)) >= 2
-        signs = len(LINE_SIGN.findall(block)) >= 2
-        if many and signs:
+    for block in blocks_of(text):
+        kind = kind_of(block)
+        if kind == "mixed":
             starts = [m.start() for m in NUMBER.finditer(block)] + [m.start() for m in LINE_SIGN.finditer(block)]
             out += [s for item in cut_at(block, starts) for s in chunk(item, size, compat)]
-        elif many:
+        elif kind == "numbered":
             out += numbered(block, size, compat)
-        elif signs:
+        elif kind == "bulleted":
             out += bulleted(block, size, compat)
-        elif is_table(block):
+        elif kind == "table":
             out += table_chunks(block, size)
         else:
             out += prose(block, compat)
@@ -223,6 +231,21 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     return docs.where(F.col(text).isNotNull()).select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, segment_index int, segment_text string")
 
 
+def block_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, block_no from 0, kind, n_chars) of the blocks of each text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, number, kinds, sizes = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for k, b in enumerate(blocks_of(t)):
+                    row.append(i), number.append(k), kinds.append(kind_of(b)), sizes.append(len(b))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(kinds, pa.string()), pa.array(sizes, pa.int32())], names=[id_col, "block_no", "kind", "n_chars"])
+
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, block_no int, kind string, n_chars int")
+
+
 #: Segment indexes of a range in which rows are numbered by one task.
 RANGE = 4096
 

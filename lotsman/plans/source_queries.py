@@ -365,6 +365,29 @@ def prompts(spark, d):
     rows = table(spark, d, SEGMENTS).where("doc_id is not null").select("doc_id", F.col("row_id").alias("segment_index"), "segment_text")
     return ds.prompts(rows)
 
+_WHITE = "\\s\\v\\x{001C}-\\x{001F}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_STRIPPED = f"regexp_replace(x, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n[{_WHITE}]*\\n'), lambda x: {_STRIPPED}), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, unnest(l) AS b, unnest(range(len(l))) AS i FROM t),
+f AS (SELECT *, len(regexp_extract_all(b, '(?:^|[{_WHITE}])[0-9]+[.)][{_WHITE}]')) >= 2 AS many, len(regexp_extract_all(b, '(?m)^[ \\t]*[•‣◦▪●·o-][ \\t]+')) >= 2 AS signs,
+ list_filter(list_transform(string_split_regex(b, '[\\n\\v\\f\\x{{001C}}-\\x{{001E}}\\x{{0085}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_STRIPPED}), lambda x: x <> '') AS lines FROM b),
+g AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '^[-•0-9o·]+[.)]?[{_WHITE}]+') OR len(regexp_extract_all(x, '[;|\\t]')) >= 2)) AS rows FROM f)
+SELECT doc_id, i::INTEGER AS block_no, CASE WHEN many AND signs THEN 'mixed' WHEN many THEN 'numbered' WHEN signs THEN 'bulleted' WHEN len(lines) >= 2 AND rows * 2 >= len(lines) THEN 'table' ELSE 'prose' END AS kind, length(b)::INTEGER AS n_chars FROM g""")
+def block_kinds(spark, d):
+    return sg.block_kinds(table(spark, d, "documents"))
+
+
+_PLANTED = "CASE row_id % 9 WHEN 1 THEN ' Техническое задание: ' WHEN 2 THEN 'РАЗДЕЛ 12. Общие положения' WHEN 3 THEN 'Заречинск 2016 ' WHEN 4 THEN '12.03.2020 - 15.04.2021' WHEN 5 THEN 'Коротко' ELSE segment_text END"
+
+
+@query(f"WITH dropped AS ({rq.SQL['seg_filter'].replace('FROM ' + SEGMENTS, f'FROM (SELECT row_id, {_PLANTED} AS segment_text FROM {SEGMENTS})')}) SELECT row_id, (row_number() OVER (PARTITION BY doc_id ORDER BY row_id) - 1)::INTEGER AS segment_index FROM {SEGMENTS} JOIN dropped USING (row_id) WHERE NOT dropped")
+def informative_segments(spark, d):
+    """Headings, dates, places, stock phrases and short texts are planted among the segments."""
+    rows = table(spark, d, SEGMENTS).select("doc_id", F.col("row_id").alias("segment_index"), F.expr(_PLANTED).alias("segment_text"), "row_id")
+    return sg.informative(rows).select("row_id", "segment_index")
+
 # ---- engine -----------------------------------------------------------------------------------------------------
 
 _HASHED = """list_transform(range(16), lambda i: len(list_filter(list_transform(list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: ('0x' || left(md5(w), 4))::INTEGER % 16), lambda s: s = i))::DOUBLE)"""
@@ -520,6 +543,17 @@ def relevant_texts(spark, d):
 def labelled_pairs(spark, d):
     return ds.labelled_pairs(*_benchmark(spark, d))
 
+_RELEVANT = "WITH d AS (SELECT doc_id, CASE WHEN regexp_full_match(coalesce(text, ''), '[\\s\\x{00A0}]*') THEN 'document ' || doc_id ELSE md5(text) END AS same FROM documents), r AS (SELECT same, count(*) AS r FROM d GROUP BY 1)"
+
+
+@query(_RELEVANT + " SELECT doc_id AS query_id, least(r, (SELECT count(*) FROM d) - r) AS negatives, 0::BIGINT AS relevant FROM d JOIN r USING (same)")
+def neg_sampling_audit(spark, d):
+    """Each query gets as many negatives as it has relevant documents, none of them relevant."""
+    same = F.when(tx.missing("text").isNotNull(), F.md5("text")).otherwise(F.concat(F.lit("document "), F.col("doc_id")))
+    docs = table(spark, d, "documents").select("doc_id", same.alias("same"))
+    got = rq.neg_sampling(spark, d).join(docs.select(F.col("doc_id").alias("query_id"), F.col("same").alias("own")), "query_id").join(docs, "doc_id")
+    return got.groupBy("query_id").agg(F.count_distinct("doc_id").alias("negatives"), F.count_if(F.col("own") == F.col("same")).alias("relevant"))
+
 # ---- batches ----------------------------------------------------------------------------------------------------
 
 
