@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotsman.functions.text import code_list, document_text, grand_of, missing, strip
+from lotsman.session import stash
 
 
 #: Parts into which the rows of a class are hashed before the first ones are taken.
 PARTS_OF_CLASS = 32
+#: Rows of a class up to which those that its parts put forward are ranked by one task.
+RANKED = 20_000
 
 
 def shuffled(seed: int, *cols: str) -> Column:
@@ -87,18 +90,25 @@ def random_split(df: DataFrame, id_col: str, share: tuple[int, int], names: tupl
 
 
 def first_of_class(df: DataFrame, cls: list[str], order: list[str], sizes: DataFrame, need: str = "need") -> DataFrame:
-    """The first ``need`` rows of each class by ``order``, where ``sizes`` (class, need) has one row a class.
+    """The first ``need`` rows of each class by ``order`` (unique), where ``sizes`` (class, need) has one row a class.
 
     Each class is cut into parts of hashed rows; a part's first rows hold the class's first rows, so only ``need`` rows a
-    part are ranked again.  No task sorts a whole class.
+    part are ranked again.  Where a class needs more than RANKED rows, these are put in ranges and numbered from the
+    counts of the ranges before, so no task sorts a whole class either way.
     """
-    by = [F.col(c) for c in order]
-    spread = F.pmod(F.xxhash64(*order), F.lit(PARTS_OF_CLASS))
-    kept = df.join(sizes, cls).where(F.col(need) > 0).withColumn("_p", spread)
-    in_part = F.row_number().over(Window.partitionBy(*cls, "_p").orderBy(*by))
-    heads = kept.withColumn("_r", in_part).where(F.col("_r") <= F.col(need))
-    in_class = F.row_number().over(Window.partitionBy(*cls).orderBy(*by))
-    return heads.withColumn("_r", in_class).where(F.col("_r") <= F.col(need)).drop("_r", "_p", need)
+    kept = df.join(sizes, cls).where(F.col(need) > 0).withColumn("_p", F.pmod(F.xxhash64(*order), F.lit(PARTS_OF_CLASS)))
+    in_part = F.row_number().over(Window.partitionBy(*cls, "_p").orderBy(*order))
+    heads = kept.withColumn("_r", in_part).where(F.col("_r") <= F.col(need)).drop("_r", "_p")
+    if (sizes.agg(F.max(need)).first()[0] or 0) <= RANKED:
+        numbered = heads.withColumn("_r", F.row_number().over(Window.partitionBy(*cls).orderBy(*order)))
+    else:
+        placed = stash(heads.repartitionByRange(*cls, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+        earlier = Window.partitionBy(*cls).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        counts = placed.groupBy(*cls, "_p").agg(F.count(F.lit(1)).alias("_n"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        number = F.row_number().over(Window.partitionBy(*cls, "_p").orderBy(*order)) + F.col("_before")
+        numbered = placed.join(before, [*cls, "_p"]).withColumn("_r", number).drop("_before", "_p")
+    return numbered.where(F.col("_r") <= F.col(need)).drop("_r", need)
 
 
 def balanced(candidates: DataFrame, top: str, code: str, id_col: str, per_top: int | None = None, seed: int = 42) -> DataFrame:
@@ -255,8 +265,6 @@ def negatives(queries: DataFrame, docs: DataFrame, qrels: DataFrame, per_relevan
     Documents are numbered in a random order and each query starts at a random number, taking the next ones that are not
     relevant: an equi-join on the numbers instead of all pairs.
     """
-    from lotsman.session import stash
-
     n = docs.count()
     if n == 0:
         return queries.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("false")

@@ -86,7 +86,9 @@ def test_deep_chain_and_cycle(spark):
     assert {r.id for r in on.descendants(links, spark.createDataFrame([("n0",)], "root string")).collect()} == {f"n{i}" for i in range(9)}
 
 
-def test_first_of_class_with_a_hot_class(spark):
+@pytest.mark.parametrize("ranked", [20_000, 2])
+def test_first_of_class_with_a_hot_class(spark, monkeypatch, ranked):
+    monkeypatch.setattr(ds, "RANKED", ranked)
     rows = [(i, "hot" if i % 3 else f"c{i % 7}", (i * 37) % 101) for i in range(600)]
     df = spark.createDataFrame(rows, "id int, c string, o int")
     sizes = df.select("c").distinct().withColumn("need", F.lit(5))
