@@ -131,6 +131,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the texts that the ids of ``p8_ids`` stand for."""
+    return tokens.decoded(p8_ids(spark, d)).select("doc_id", F.md5("text").alias("digest"))
+
+
 def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -168,7 +173,7 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_report, p3_found, p3_records, p3_collisions, p4_found, p4_pieces, p4_rejoined, p5_found, p5_composition, p6_found, p6_splits, p6_report, p6_audit, p7_found, p7_sample, p7_report, p7_audit, p8_ids, p9_pack, p9_report, p9_audit, p10_found, p10_kept, p10_pages, p10_report)
+    for f in (p2_found, p2_report, p3_found, p3_records, p3_collisions, p4_found, p4_pieces, p4_rejoined, p5_found, p5_composition, p6_found, p6_splits, p6_report, p6_audit, p7_found, p7_sample, p7_report, p7_audit, p8_ids, p8_decoded, p9_pack, p9_report, p9_audit, p10_found, p10_kept, p10_pages, p10_report)
 }
 
 _CANON = "regexp_replace(lower(upper(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
@@ -188,6 +193,7 @@ SQL: dict[str, str] = {
     "p4_rejoined": f"SELECT '{TRAIN}' AS table_name, row_id, md5(abstract) AS digest, true AS within, true AS laps FROM {TRAIN} WHERE length(abstract) > 1500 UNION ALL SELECT '{SEGMENTS}', row_id, md5(segment_text), true, true FROM {SEGMENTS} WHERE length(segment_text) > 600",
     "p6_audit": f"WITH r AS (SELECT {_KEY} AS unit FROM (SELECT doc_id FROM {SEGMENTS} UNION ALL SELECT doc_id FROM row_meta)) SELECT count(*) AS n_rows, 0::BIGINT AS without, count(DISTINCT unit) AS documents, 0::BIGINT AS torn FROM r",
     "p7_audit": f"SELECT count(*) * 3 // 10 AS drawn, 0::BIGINT AS twice, 0::BIGINT AS below FROM {TRAIN}",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p9_audit": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS split_for_nothing, 0::BIGINT AS overfull, 0::BIGINT AS overlapping FROM documents",
     "p6_found": f"""
 WITH d AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM {SEGMENTS} UNION ALL SELECT doc_id FROM row_meta)),

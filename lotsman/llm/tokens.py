@@ -181,3 +181,16 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")
+
+
+def decoded(ids: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id, text) of encoded texts (id, ids): the way back, which tests and audits take.  Empty lists give ''."""
+    shared = _vocabulary(ids.sparkSession, vocabulary, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = codec(*shared.value).plain
+        for batch in batches:
+            texts = [plain.decode_bytes(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return ids.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {ids.schema[id_col].dataType.simpleString()}, text string")
