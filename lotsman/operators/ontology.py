@@ -39,6 +39,11 @@ def embedding_texts(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.nullif(strip(F.concat_ws(". ", missing("full_label"), missing("llm_description")), r"\s."), F.lit("")).alias("text")).where("text is not null")
 
 
+def competency_texts(comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the competencies (id) whose node has a text to encode; the others are left out."""
+    return comps.select("id").distinct().join(embedding_texts(nodes), "id")
+
+
 def top_labels(nodes: DataFrame) -> DataFrame:
     """(code, top_code, top_label) of every code; the last node wins."""
     rows = nodes.where(missing("code").isNotNull()).select("node_ord", strip("code").alias("code"), F.coalesce(missing("full_label"), missing("label")).alias("top_label"))

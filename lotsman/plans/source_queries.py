@@ -219,6 +219,12 @@ def ontology_normalised(spark, d):
     return on.normalised(n, rq.links(spark, d), "root").select("id", "code", "label")
 
 
+@query(rq._NODE_TABLE + ", t AS (SELECT id, trim(concat_ws('. ', full_label, descr), '. ') AS text FROM n WHERE node_ord % 2 = 0) SELECT id, text FROM t WHERE text <> ''")
+def competency_texts(spark, d):
+    n = table(spark, d, "grnti_nodes")
+    return on.competency_texts(n.where("node_ord % 2 = 0").unionByName(n.where("node_ord = 0").withColumn("id", F.lit("none"))), n)
+
+
 @query("SELECT id, CASE WHEN node_ord % 3 = 0 THEN 'known ' || id ELSE llm_description END AS llm_description FROM grnti_nodes")
 def kept_descriptions(spark, d):
     n = table(spark, d, "grnti_nodes")
