@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lotsman.functions.text import missing
+from lotsman.functions.text import missing, uninformative
 from lotsman.operators import annotate as an
 from lotsman.operators import ontology as on
 from lotsman.operators import segment as sg
@@ -25,16 +28,24 @@ SHARE_MODELS = ("russian", "rusbeir", "final_model")
 
 
 def hash_encoder(dims: int = 16) -> Encoder:
-    """Counts of words by a digest, scaled to unit length: an encoder without a model, made of built-in functions."""
+    """Counts of words by a digest, scaled to unit length: an encoder without a model.
+
+    Built-in functions make the words and digests; counts are made over a batch at once.
+    """
 
     def encode(rows: DataFrame, text: str) -> DataFrame:
+        @F.arrow_udf("array<double>")
+        def unit(slots: pa.Array) -> pa.Array:
+            sizes = np.diff(slots.offsets.to_numpy())
+            row = np.repeat(np.arange(len(slots)), sizes)
+            counted = np.bincount(row * dims + slots.flatten().to_numpy(), minlength=len(slots) * dims).reshape(-1, dims).astype(np.float64)
+            length = np.sqrt((counted * counted).sum(axis=1))
+            made = counted / np.where(length > 0, length, 1.0)[:, None]
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1) * dims, pa.int32()), pa.array(made.ravel()), mask=pa.array(length == 0))
+
         words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         slots = F.transform(words, lambda w: (F.conv(F.left(F.md5(w), F.lit(4)), 16, 10).cast("int") % dims))
-        # One fold over the words: a lambda around them would evaluate them once a slot.
-        counted = F.aggregate(slots, F.array_repeat(F.lit(0.0), dims), lambda acc, s: F.transform(acc, lambda x, i: x + F.when(i == s, 1.0).otherwise(0.0)))
-        length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-        made = rows.withColumn("_v", counted)
-        return made.withColumn("embedding", F.when(length > 0, F.transform("_v", lambda x: x / length))).drop("_v")
+        return rows.withColumn("embedding", unit(slots))
 
     return encode
 
@@ -67,9 +78,11 @@ def stored_vectors(comps: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def pair_texts(pairs: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs`` (doc_id, segment_index, comp_id) with query, the concept's label and description, and the segment's text
-    without context."""
+    without context.  Pairs that have a ``segment_text`` give it and are all kept."""
     query = F.when(missing("description").isNotNull(), F.concat("label", F.lit(". "), "description")).otherwise(F.col("label"))
     named = nodes.select(F.col("id").alias("comp_id"), query.alias("query"))
+    if "segment_text" in pairs.columns:
+        return pairs.withColumnRenamed("segment_text", "text").join(named, "comp_id", "left")
     texts = segments.select("doc_id", "segment_index", F.col("segment_text").alias("text"))
     return pairs.join(texts, ["doc_id", "segment_index"]).join(named, "comp_id")
 
@@ -82,7 +95,10 @@ def normal_form(model_name: str) -> Callable[[Column | str], Column]:
 
 @dataclass(frozen=True)
 class Engine:
-    """What a run needs beside the documents.  ``context`` above 0 is the length up to which a segment gets neighbours."""
+    """What a run needs beside the documents.  ``context`` above 0 is the length up to which a segment gets neighbours.
+
+    Without ``matches`` an annotation is (doc_id, comp_id, doc_score, segment_count, rank): no matches, no labels.
+    """
 
     nodes: DataFrame
     encoder: Encoder
@@ -93,6 +109,7 @@ class Engine:
     context: int = 0
     informative: bool = True
     progress: Progress | None = None
+    matches: bool = True
 
     def told(self, stage: str, share: float) -> None:
         if self.progress is not None:
@@ -104,19 +121,37 @@ class Engine:
         Labels of the concept come with each annotation, and each match has its segment's text.  Null documents and
         empty texts have no annotations.
         """
-        if self.informative:
-            segments = sg.informative(segments)
-        segments = stash(segments.select("doc_id", "segment_index", "segment_text").where("doc_id is not null"), "segments")
+        segments = segments.select("doc_id", "segment_index", "segment_text").where("doc_id is not null")
+        kept = stash(segments.where(~uninformative("segment_text")) if self.informative else segments, "segments")
+        small, large = an.by_size(kept)
+        concepts = self.vectors if self.vectors is not None else concept_vectors(self.nodes, self.encoder)
         self.told("context", 0.0)
-        around = an.with_context(segments, self.context).withColumnRenamed("context_text", "_t") if self.context > 0 else segments.withColumn("_t", F.col("segment_text"))
+        parts = [self.around(small)]
+        if large is not None:
+            large = stash(sg.informative(large) if self.informative else large, "large")
+            parts.append(an.with_context(large, self.context).withColumnRenamed("context_text", "_t") if self.context > 0 else large.withColumn("_t", F.col("segment_text")))
         self.told("vectors", 0.0)
-        encoded = self.encoder(around, "_t").select("doc_id", "segment_index", "embedding")
-        concepts = self.vectors if self.vectors is not None else concept_vectors(self.nodes, self.encoder)
-        self.told("matching", 0.0)
         again = self.pair_model is not None and self.config.rerank_top_k > 0
-        anns = an.annotate(encoded, concepts, self.config, self.scorer(segments) if again else None)
+        encoded = [self.encoder(p, "_t").select("doc_id", "segment_index", "embedding", *["segment_text"] * again) for p in parts]
+        if again:  # read twice
+            encoded[0] = stash(encoded[0], "vectors")
+        self.told("matching", 0.0)
+        anns = an.whole(encoded[0], concepts, self.config, self.scorer(small) if again else None, self.matches)
+        if large is not None:
+            anns = anns.unionByName(an.annotate(encoded[1].drop("segment_text"), concepts, self.config, self.scorer(large) if again else None).select(*anns.columns))
         self.told("matching", 1.0)
-        return self.labelled(stash(anns, "annotations"), segments)
+        if not self.matches:
+            return anns if self.vectors is None else anns.join(self.nodes.select(F.col("id").alias("comp_id")), "comp_id", "left_semi")
+        numbered = self.around(small).drop("_t")
+        return self.labelled(stash(anns, "annotations"), numbered if large is None else numbered.unionByName(large))
+
+    def around(self, segments: DataFrame) -> DataFrame:
+        """Segments of documents that one task holds, numbered anew if uninformative ones went, with ``_t``, the text to
+        encode; as ``segment.informative`` and ``annotate.with_context`` do it, in one shuffle."""
+        w = Window.partitionBy("doc_id").orderBy("segment_index")
+        number = F.row_number().over(w) - 1 if self.informative else F.col("segment_index")
+        text = an.context("segment_text", F.lag("segment_text").over(w), F.lead("segment_text").over(w), self.context) if self.context > 0 else F.col("segment_text")
+        return segments.select("doc_id", number.cast(segments.schema["segment_index"].dataType).alias("segment_index"), "segment_text", text.alias("_t"))
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         """``annotate_segments`` of whole texts (doc_id, text)."""

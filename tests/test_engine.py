@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,80 @@ def test_context_and_rerank(spark, nodes):
     assert spark.range(1).select(en.normal_form("other")("id").alias("x")).first().x == 0.5
 
 
+def test_whole_documents_are_annotated_like_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = lambda n: rng.integers(-1, 2, (n, 4)).astype(float).tolist()
+    docs = [None if d == 39 else f"d{d}" for d in range(40) for _ in range(d % 9)]
+    segs = spark.createDataFrame([(d, 1000 - i, v) for i, (d, v) in enumerate(zip(docs, vectors(len(docs))))] + [("d1", 2000, None), ("none", 0, None)], "doc_id string, segment_index int, embedding array<double>").repartition(3)
+    comps = spark.createDataFrame([(f"c{c:02}", v) for c, v in enumerate(vectors(30))] + [("none", None)], "comp_id string, embedding array<double>")
+    score = lambda pairs: pairs.withColumn("cross_score", (F.col("segment_index") * 7 + F.hash("comp_id")) % 4 + 0.5)
+    key = lambda df: sorted((str(r.doc_id), r["rank"], r.comp_id, *(round(r[c], 9) for c in ("doc_score", "max_confidence", "sum_score", "mean_score")), r.segment_count, [tuple(m) for m in r.matches]) for r in df.collect())
+    monkeypatch.setattr(an, "METHODS", (*an.METHODS, "unknown"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for cfg, scorer in [*((an.Config(1.0, 3, 0, m), None) for m in an.METHODS), *((an.Config(1.0, 2, 4, "sum", u), score) for u in (False, True))]:
+            rows = segs if scorer is None else segs.where("doc_id is not null")
+            got, want = key(an.whole(rows, comps, cfg, scorer)), key(an.annotate(rows, comps, cfg, scorer))
+            assert got == want and len(got) > 200, cfg
+            least = an.whole(rows, comps, cfg, scorer, matches=False)
+            assert sorted((str(r.doc_id), r["rank"], r.comp_id) for r in least.collect()) == [x[:3] for x in want]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    twice = comps.unionByName(comps.limit(3))
+    assert key(an.whole(segs, twice, an.Config(1.0, 3))) == key(an.annotate(segs, twice, an.Config(1.0, 3)))
+
+
+def test_many_concepts_are_taken_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    table = pa.table({"doc_id": ["a"] * 5 + ["b"] * 5 + ["c"], "segment_index": list(range(11)), "embedding": rng.integers(-1, 2, (11, 3)).astype(float).tolist()})
+    ids, concepts = pa.array([f"c{i:02}" for i in range(20)]), rng.integers(-1, 2, (20, 3)).astype(float)
+    run = lambda: sorted(map(str, (r for b in an._of_documents(table, ids, concepts, an.Config(1.0, 2), 2, False, True) for r in b.to_pylist())))
+    want = run()
+    for cells in (1, 13, 40):
+        monkeypatch.setattr(an, "CELLS", cells)
+        assert run() == want and len(want) > 20
+
+
+def test_long_documents_and_short_ones(spark, nodes, monkeypatch):
+    text = lambda d, n: " ".join(f"Горная машина номер {d} работает {'в шахте ' * (i % 3)}дня {i}. Да." for i in range(n))
+    docs = spark.createDataFrame([(d, text(d, 2 + 3 * d)) for d in range(5)], "doc_id int, text string")
+    words = lambda pairs: pairs.withColumn("raw", F.length("text") % 7 - 3.0)
+    for more in ({}, {"pair_model": words, "pair_model_name": "own"}):
+        e = en.Engine(nodes, en.hash_encoder(4), config=an.Config(0.05, 3, 2), context=60, **more)
+        key = lambda df: sorted((r.doc_id, r.comp_id, round(r.doc_score, 9), r.segment_count, r.full_label, [(m.segment_index, m.segment) for m in r.matches]) for r in df.collect())
+        monkeypatch.setattr(an, "WHOLE", 4096)
+        short = key(e.annotate(docs))
+        monkeypatch.setattr(an, "WHOLE", 6)
+        assert key(e.annotate(docs)) == short and len({x[0] for x in short}) == 5
+
+
+def test_pairs_are_not_shuffled(spark, nodes):
+    e = en.Engine(nodes, en.hash_encoder(8), config=an.Config(0.3, 3), context=60, matches=False)
+    plan = e.annotate(spark.createDataFrame([(1, "Первая горная машина работает долго.")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan[: plan.index("MapInArrow")] and plan.count("ArrowEvalPython") == 1
+
+
+def test_hot_documents_give_the_first_of_each_batch(spark):
+    rng = np.random.default_rng(3)
+    segs = spark.createDataFrame([("hot", i, v) for i, v in enumerate(rng.integers(-1, 2, (1000, 4)).astype(float).tolist())], "doc_id string, segment_index int, embedding array<double>")
+    comps = spark.createDataFrame([(c, v) for c, v in enumerate(rng.integers(-1, 2, (9, 4)).astype(float).tolist())], "comp_id int, embedding array<double>")
+    key = lambda df: sorted(map(tuple, an.top_segments(df, 3).collect()))
+    few = an.pair_scores(segs, comps, 0.5, keep=3)
+    assert key(few) == key(an.pair_scores(segs, comps, 0.5)) and few.count() <= 3 * 9 * 8
+
+
+@pytest.mark.parametrize("dims", [16, 5])
+def test_hash_encoder_counts_words(spark, dims):
+    from hashlib import md5
+
+    texts = ["Горная машина, горная-машина 12", None, " . ", "", "Ещё одно слово"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in en.hash_encoder(dims)(rows, "t").collect():
+        words = (r.t or "").lower().replace(",", " ").replace("-", " ").replace(".", " ").split()
+        v = np.bincount([int(md5(w.encode()).hexdigest()[:4], 16) % dims for w in words], minlength=dims)
+        assert r.embedding == (None if not words else (v / np.sqrt((v * v).sum())).tolist())
+
+
 def test_pooled_keeps_what_pairs_would(spark):
     rng = np.random.default_rng(0)
     segs = spark.createDataFrame([(int(d), i, rng.standard_normal(4).tolist()) for i, d in enumerate(rng.integers(0, 5, 700))] + [(0, 900, None)], "doc_id int, segment_index int, embedding array<double>")
