@@ -199,13 +199,19 @@ def first_json(reply: Column | str) -> Column:
 def uninformative(c: Column | str, min_length: int = 15, headers: bool = True, dates: bool = True, phrases: bool = True) -> Column:
     """Whether a segment carries no content: too short, a stock phrase, a heading, a date, a place with a year, or digits."""
     # The forms of headings, dates and places.
-    s = strip(c)
-    out = F.length(s) < max(1, min_length)
-    if phrases:
-        low = F.lower(s)
-        out = out | low.isin(*STOP_PHRASES) | F.regexp_replace(low, ":+$", "").isin(*STOP_PHRASES)
-    if headers:
-        out = out | s.rlike(r"(?iu)^раздел(?U:\s+)[0-9]+\.?(?U:\s*)$") | s.rlike(r"(?iu)^раздел(?U:\s+)[0-9]+\.?(?U:\s+)(?:[а-яё]|(?U:\s))+$")
-    if dates:
-        out = out | s.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$") | s.rlike(r"(?U)^[А-ЯЁ][а-яё\s]+,\s*г\.\s*[А-ЯЁ][а-яё]+\s+[0-9]{4}$") | s.rlike(r"(?U)^[А-ЯЁ][а-яё]+\s+[0-9]{4}$")
-    return out | s.rlike(r"(?U)^[0-9\s.,\-:]+$")
+    # Before each form stands what any text of it has and few others, as a form is tried at every character.
+    def empty(s: Column) -> Column:
+        out = F.length(s) < max(1, min_length)
+        if phrases:
+            out = out | (F.length(s) <= max(map(len, STOP_PHRASES))) & F.lower(s).isin(*STOP_PHRASES)
+            out = out | s.endswith(":") & F.regexp_replace(F.lower(s), ":+$", "").isin(*STOP_PHRASES)
+        if headers:
+            out = out | F.left(s, F.lit(6)).rlike("(?iu)^раздел") & (s.rlike(r"(?iu)^раздел(?U:\s+)[0-9]+\.?(?U:\s*)$") | s.rlike(r"(?iu)^раздел(?U:\s+)[0-9]+\.?(?U:\s+)(?:[а-яё]|(?U:\s))+$"))
+        if dates:
+            out = out | F.right(s, F.lit(1)).rlike("[0-9]") & (s.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$") | s.rlike(r"(?U)^[А-ЯЁ][а-яё\s]+,\s*г\.\s*[А-ЯЁ][а-яё]+\s+[0-9]{4}$") | s.rlike(r"(?U)^[А-ЯЁ][а-яё]+\s+[0-9]{4}$"))
+        return out | F.left(s, F.lit(1)).rlike(r"(?U)[0-9\s.,\-:]") & s.rlike(r"(?U)^[0-9\s.,\-:]+$")
+
+    # Bound by a lambda, the stripped text is made once, not once a condition, and only where an end is white space.
+    whole = F.coalesce(col(c), F.lit(""))
+    ends = F.concat(F.left(whole, F.lit(1)), F.right(whole, F.lit(1)))
+    return F.exists(F.array(F.when(ends.rlike(r"(?U)\s"), strip(c)).otherwise(whole)), empty)

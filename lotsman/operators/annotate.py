@@ -301,8 +301,9 @@ def _of_documents(table: pa.Table, ids: pa.Array, concepts: np.ndarray, cfg: Con
 
 
 def _by_document(rows: DataFrame, shared, cfg: Config, k: int, heads: bool, matches: bool, schema: str) -> DataFrame:
-    """``_of_documents`` of rows (doc_id, segment_index, ..), whose documents a window puts together."""
-    together = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment_index")))
+    """``_of_documents`` of rows (doc_id, segment_index, ..), whose documents a window puts together, unless they have
+    ``_n`` and stand together already."""
+    together = rows if "_n" in rows.columns else rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment_index")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, concepts = shared.value
@@ -322,7 +323,7 @@ def _by_document(rows: DataFrame, shared, cfg: Config, k: int, heads: bool, matc
 
 def whole(segments: DataFrame, comps: DataFrame, cfg: Config = Config(), scorer: Callable[[DataFrame], DataFrame] | None = None, matches: bool = True) -> DataFrame:
     """``annotate`` of documents that one task holds (see ``by_size``): pairs are made and ranked where the document's
-    vectors stand and are never shuffled.
+    vectors stand and are never shuffled.  Rows that have ``_n``, 1 at a document's first row, stand together already.
 
     With a ``scorer``, further columns of ``segments`` come with the pairs, and ``scorer`` must return every pair.  What
     it gives goes back to the documents' vectors.  Without ``matches`` there is neither ``matches`` nor the sum, the mean
@@ -332,12 +333,12 @@ def whole(segments: DataFrame, comps: DataFrame, cfg: Config = Config(), scorer:
     least = ["doc_id", "comp_id", "doc_score", "segment_count", "rank"]
     some = comps.where("embedding is not null").select("comp_id", "embedding")
     if some.count() > BLOCK or not some.groupBy("comp_id").count().where("count > 1 or comp_id is null").isEmpty():
-        out = annotate(segments, comps, cfg, scorer)
+        out = annotate(segments.drop("_n"), comps, cfg, scorer)
         return out if matches else out.select(*least)
     shared = segments.sparkSession.sparkContext.broadcast(_gathered(some))
     k = max(cfg.top_k, 50) if again else cfg.top_k
     doc, index, comp = _kinds(segments, comps)
-    plain = segments.select("doc_id", "segment_index", "embedding")  # a filter on vectors would have them made twice
+    plain = segments.select("doc_id", "segment_index", "embedding", *["_n"] * ("_n" in segments.columns))  # a filter on vectors would have them made twice
     if again:
         others = [f for f in segments.schema if f.name != "embedding"]
         pairs = _by_document(segments, shared, cfg, k, True, False, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + f", comp_id {comp}")

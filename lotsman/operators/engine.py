@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,8 @@ from lotsman.operators import ontology as on
 from lotsman.operators import segment as sg
 from lotsman.session import stash
 
-#: (rows, name of a text column) -> rows with ``embedding``, an array of float of unit length.
+#: (rows, name of a text column) -> rows with ``embedding``, an array of float of unit length.  An encoder with a true
+#: attribute ``in_place`` leaves all other columns and the rows' order as they are.
 Encoder = Callable[[DataFrame, str], DataFrame]
 #: rows (query, text) -> rows with ``raw``, the score of a pair.
 PairModel = Callable[[DataFrame], DataFrame]
@@ -30,23 +33,25 @@ SHARE_MODELS = ("russian", "rusbeir", "final_model")
 def hash_encoder(dims: int = 16) -> Encoder:
     """Counts of words by a digest, scaled to unit length: an encoder without a model.
 
-    Built-in functions make the words and digests; counts are made over a batch at once.
+    Built-in functions make the words; a batch's different words are digested once and its texts counted at once.
     """
 
     def encode(rows: DataFrame, text: str) -> DataFrame:
         @F.arrow_udf("array<double>")
-        def unit(slots: pa.Array) -> pa.Array:
-            sizes = np.diff(slots.offsets.to_numpy())
-            row = np.repeat(np.arange(len(slots)), sizes)
-            counted = np.bincount(row * dims + slots.flatten().to_numpy(), minlength=len(slots) * dims).reshape(-1, dims).astype(np.float64)
+        def unit(texts: pa.Array) -> pa.Array:
+            words = pc.split_pattern(texts, " ")
+            coded = words.flatten().dictionary_encode()
+            slot = np.array([int(md5(w.encode()).hexdigest()[:4], 16) % dims if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+            slots = slot[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))[slots >= 0]
+            counted = np.bincount(row * dims + slots[slots >= 0], minlength=len(words) * dims).reshape(-1, dims).astype(np.float64)
             length = np.sqrt((counted * counted).sum(axis=1))
             made = counted / np.where(length > 0, length, 1.0)[:, None]
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1) * dims, pa.int32()), pa.array(made.ravel()), mask=pa.array(length == 0))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dims, pa.int32()), pa.array(made.ravel()), mask=pa.array(length == 0))
 
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: (F.conv(F.left(F.md5(w), F.lit(4)), 16, 10).cast("int") % dims))
-        return rows.withColumn("embedding", unit(slots))
+        return rows.withColumn("embedding", unit(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " ")))
 
+    encode.in_place = True
     return encode
 
 
@@ -63,6 +68,7 @@ def arrow_encoder(encode: Callable[[list[str]], object], batch: int = 64) -> Enc
 
         return rows.withColumn("embedding", vectors(text))
 
+    run.in_place = True
     return run
 
 
@@ -132,7 +138,9 @@ class Engine:
             parts.append(an.with_context(large, self.context).withColumnRenamed("context_text", "_t") if self.context > 0 else large.withColumn("_t", F.col("segment_text")))
         self.told("vectors", 0.0)
         again = self.pair_model is not None and self.config.rerank_top_k > 0
-        encoded = [self.encoder(p, "_t").select("doc_id", "segment_index", "embedding", *["segment_text"] * again) for p in parts]
+        encoded = [self.encoder(p, "_t") for p in parts]
+        standing = ["_n"] * (not again and getattr(self.encoder, "in_place", False))
+        encoded = [e.select("doc_id", "segment_index", "embedding", *["segment_text"] * again, *standing * (i == 0)) for i, e in enumerate(encoded)]
         if again:  # read twice
             encoded[0] = stash(encoded[0], "vectors")
         self.told("matching", 0.0)
@@ -142,16 +150,20 @@ class Engine:
         self.told("matching", 1.0)
         if not self.matches:
             return anns if self.vectors is None else anns.join(self.nodes.select(F.col("id").alias("comp_id")), "comp_id", "left_semi")
-        numbered = self.around(small).drop("_t")
+        numbered = self.around(small).drop("_t", "_n")
         return self.labelled(stash(anns, "annotations"), numbered if large is None else numbered.unionByName(large))
 
     def around(self, segments: DataFrame) -> DataFrame:
         """Segments of documents that one task holds, numbered anew if uninformative ones went, with ``_t``, the text to
-        encode; as ``segment.informative`` and ``annotate.with_context`` do it, in one shuffle."""
+        encode; as ``segment.informative`` and ``annotate.with_context`` do it, in one shuffle.  ``_n`` numbers the rows
+        of a document, which stand together."""
         w = Window.partitionBy("doc_id").orderBy("segment_index")
-        number = F.row_number().over(w) - 1 if self.informative else F.col("segment_index")
-        text = an.context("segment_text", F.lag("segment_text").over(w), F.lead("segment_text").over(w), self.context) if self.context > 0 else F.col("segment_text")
-        return segments.select("doc_id", number.cast(segments.schema["segment_index"].dataType).alias("segment_index"), "segment_text", text.alias("_t"))
+        near = F.left("segment_text", F.lit(201))
+        sides = [F.lag(near).over(w).alias("_before"), F.lead(near).over(w).alias("_after")] if self.context > 0 else []
+        rows = segments.select("doc_id", "segment_index", "segment_text", F.row_number().over(w).alias("_n"), *sides)
+        number = (F.col("_n") - 1).cast(segments.schema["segment_index"].dataType) if self.informative else F.col("segment_index")
+        text = an.context("segment_text", F.col("_before"), F.col("_after"), self.context) if sides else F.col("segment_text")
+        return rows.select("doc_id", number.alias("segment_index"), "segment_text", text.alias("_t"), "_n")
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         """``annotate_segments`` of whole texts (doc_id, text)."""

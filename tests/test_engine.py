@@ -104,7 +104,7 @@ def test_long_documents_and_short_ones(spark, nodes, monkeypatch):
 def test_pairs_are_not_shuffled(spark, nodes):
     e = en.Engine(nodes, en.hash_encoder(8), config=an.Config(0.3, 3), context=60, matches=False)
     plan = e.annotate(spark.createDataFrame([(1, "Первая горная машина работает долго.")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan[: plan.index("MapInArrow")] and plan.count("ArrowEvalPython") == 1
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan[: plan.index("MapInArrow")] and plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1
 
 
 def test_hot_documents_give_the_first_of_each_batch(spark):
@@ -128,6 +128,18 @@ def test_hash_encoder_counts_words(spark, dims):
         assert r.embedding == (None if not words else (v / np.sqrt((v * v).sum())).tolist())
 
 
+def test_uninformative_forms_and_ends(spark):
+    from lotsman.functions import text as tx
+
+    empty = ["", None, " \u00a0 ", "Коротко", "Техническое задание:::", "\u00a0техническое Задание\n", "РАЗДЕЛ 12. Общие положения", "раздел\u00a03.\t", "Москва и область, г. Москва 2016 ", "Новозаречинск 2016", "12.03.2020 - 15.04.2021", "  12.03.2020 , 15:04 "]
+    full = ["Раздел 12. Общие положения 2", "Это обычный сегмент текста:", "Обычный сегмент кончается числом 2016", "12.03.2020 состоялась встреча", "  Отступ не мешает сегменту  "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(empty + full)], "i int, t string").withColumn("e", tx.uninformative("t"))
+    assert [r.e for r in rows.orderBy("i").collect()] == [True] * len(empty) + [False] * len(full)
+    # Stripped in one place, not once a condition.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|[\\s]+$") == 1
+
+
 def test_pooled_keeps_what_pairs_would(spark):
     rng = np.random.default_rng(0)
     segs = spark.createDataFrame([(int(d), i, rng.standard_normal(4).tolist()) for i, d in enumerate(rng.integers(0, 5, 700))] + [(0, 900, None)], "doc_id int, segment_index int, embedding array<double>")
